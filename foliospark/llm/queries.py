@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality, tokens
+from . import ngram_join, packing, quality, tokens
 from .common import table
 
 
@@ -23,10 +23,17 @@ def op5_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.write_records(table(spark, sf_dir, "documents"))
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_pairs(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op3_packing": op3_packing,
     "op5_token_records": op5_token_records,
+    "op7_ngram_join": op7_ngram_join,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_ngram_join": ngram_join.SQL,
+}
