@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, ngram_join, packing, quality, tokens
+from . import decontaminate, ngram_join, packing, quality, substring_dedup, tokens
 from .common import table
 
 
@@ -19,6 +19,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.deduplicated(table(spark, sf_dir, "documents"))
+
+
 def op5_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.write_records(table(spark, sf_dir, "documents"))
 
@@ -34,11 +38,13 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op3_packing": op3_packing,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_token_records": op5_token_records,
     "op7_ngram_join": op7_ngram_join,
     "op9_decontamination": op9_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_substring_dedup": substring_dedup.SQL,
     "op7_ngram_join": ngram_join.SQL,
 }
