@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, ngram_join, packing, quality, substring_dedup, tokens, toxicity
+from . import decontaminate, ngram_join, packing, quality, secrets, substring_dedup, tokens, toxicity
 from .common import table
 
 
@@ -27,6 +27,10 @@ def op5_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.write_records(table(spark, sf_dir, "documents"))
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_pairs(table(spark, sf_dir, "documents"))
 
@@ -45,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_token_records": op5_token_records,
+    "op6_secrets": op6_secrets,
     "op7_ngram_join": op7_ngram_join,
     "op8_toxicity": op8_toxicity,
     "op9_decontamination": op9_decontamination,
