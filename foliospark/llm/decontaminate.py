@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import free_name, materialise
 from .textkernel import Words, grams, sliced
 
 SEED = 3
@@ -209,6 +209,7 @@ def leaks(docs: DataFrame, bench: DataFrame, threshold: float = THRESHOLD) -> Da
 
 def clean(docs: DataFrame, bench: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs without the documents that an item leaks into; all columns stay as they are."""
-    bad = materialise(leaks(docs, bench, threshold).filter("doc_id is not null").select(F.col("doc_id").alias("leaked_id")).distinct(), "leaked")
+    name = free_name(docs, "leaked_id")
+    bad = materialise(leaks(docs, bench, threshold).filter("doc_id is not null").select(F.col("doc_id").alias(name)).distinct(), "leaked")
     few = bad.count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(bad) if few else bad, docs["doc_id"] == F.col("leaked_id"), "left_anti")
+    return docs.join(F.broadcast(bad) if few else bad, docs["doc_id"] == F.col(name), "left_anti")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fragments, materialise
+from .common import fragments, free_name, materialise
 from .textkernel import column_bytes, grams, sliced, unique_rows
 
 NGRAM = 3
@@ -347,10 +347,11 @@ def components(pairs: DataFrame, a: str = "doc_a", b: str = "doc_b") -> DataFram
 
 def one_of_each(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
     """docs without those that have a near duplicate of lesser id in their group; rows of null id all stay."""
-    lost = components(similar_pairs(docs, n, threshold)).filter("doc_id <> root").select(F.col("doc_id").alias("lost_id"))
+    name = free_name(docs, "lost_id")
+    lost = components(similar_pairs(docs, n, threshold)).filter("doc_id <> root").select(F.col("doc_id").alias(name))
     lost = materialise(lost, "lost")
     few = lost.count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(lost) if few else lost, docs["doc_id"] == F.col("lost_id"), "left_anti")
+    return docs.join(F.broadcast(lost) if few else lost, docs["doc_id"] == F.col(name), "left_anti")
 
 
 SQL = """
