@@ -362,6 +362,6 @@ j AS (SELECT r.*, first_id, CASE WHEN first_id IS NOT NULL AND (kind = 'revisit'
       FROM r LEFT JOIN f USING (digest)),
 t AS (SELECT *, CASE WHEN refers_to IS NOT NULL THEN 'revisit' ELSE kind END AS new_kind FROM j)
 SELECT record_id, 'urn:uuid:' || md5(record_id || '#deduplicated')::UUID::VARCHAR AS fresh_id, new_kind AS type, url, date, digest, refers_to,
-       (76 + length(size::VARCHAR) + CASE WHEN new_kind = 'response' THEN size ELSE 0 END)::BIGINT AS block_length
+       (77 + length(size::VARCHAR) + CASE WHEN new_kind = 'response' THEN size ELSE 0 END)::BIGINT AS block_length
 FROM t
 """
