@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-Query = Callable[[SparkSession, str], DataFrame]
+from foliospark.plans import queries as plans
+from foliospark.plans.queries import Query
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(plans.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(plans.SQL)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Chunk statistics by language: tokens, sentence split, greedy pack and aggregation end to end."""
+    return plans.chunk_statistics(spark, sf_dir)
