@@ -9,7 +9,7 @@ combined value under ``ALPHA`` are not random, which costs that share of true se
 
 The rest are random or too short to tell, so discoveries are controlled per stratum of encoding and length: character
 counts of the whole corpus give the power with which the battery would reject an ordinary string of that length.  If
-``rejected`` of the stratum's runs fail, about (rejected + 1) (1 - power) / power ordinary ones must have passed;
+``rejected`` of the stratum's distinct runs fail (a word that occurs a thousand times is one test, not a thousand), about (rejected + 1) (1 - power) / power ordinary ones must have passed;
 the stratum's passing runs are reported if that is at most ``FALSE_SHARE`` of them.  Long words never pass such
 a bar, nor do digit strings (ordinary digits are as even as random ones), however many there are.
 
@@ -20,6 +20,7 @@ columns are not read.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -142,10 +143,10 @@ def candidates(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 _SCHEMA = (
     "doc_id long, sig long, start int, end int, encoding string, symbols int, p_uniform double, p_runs double, p_serial double, p_value double, "
-    "symbol int, times long"
+    "run long, symbol int, times long"
 )
 _NAMES = [x.split()[0] for x in _SCHEMA.split(", ")]
-_KINDS = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int32(), *[pa.float64()] * 4, pa.int32(), pa.int64()]
+_KINDS = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int32(), *[pa.float64()] * 4, pa.int64(), pa.int32(), pa.int64()]
 
 
 def _tested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,11 +163,11 @@ def _tested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             run = run[lead:].rstrip(b"-_/+")
             kind, body = encoding_of(run)
             if len(body) >= LEAST:
-                out.append((ids[r], sigs[r], s + lead, s + lead + len(run), kind, len(body), *battery(body, kind), None, None))
+                out.append((ids[r], sigs[r], s + lead, s + lead + len(run), kind, len(body), *battery(body, kind), int.from_bytes(hashlib.blake2b(body, digest_size=8).digest(), "little", signed=True), None, None))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), _KINDS)], _NAMES)
     used = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.nulls(len(used), k) for k in _KINDS[:10]] + [pa.array(used.astype(np.int32)), pa.array(counts[used])], _NAMES)
+    yield pa.RecordBatch.from_arrays([pa.nulls(len(used), k) for k in _KINDS[:11]] + [pa.array(used.astype(np.int32)), pa.array(counts[used])], _NAMES)
 
 
 def scan(docs: DataFrame, alpha: float = ALPHA, false_share: float = FALSE_SHARE) -> DataFrame:
@@ -179,14 +180,14 @@ def scan(docs: DataFrame, alpha: float = ALPHA, false_share: float = FALSE_SHARE
     rank = sum((F.col("symbols") >= s).cast("int") for s in STRATA)
     runs = runs.withColumn("stratum", rank)
     rejected = F.col("p_value") < alpha
-    strata = runs.groupBy("encoding", "stratum").agg(F.count_if(rejected).alias("rejected"), F.count_if(~rejected).alias("passed"), F.min("symbols").alias("least")).collect()
+    strata = runs.select("encoding", "stratum", "run", "p_value", "symbols").distinct().groupBy("encoding", "stratum").agg(F.count_if(rejected).alias("rejected"), F.count_if(~rejected).alias("passed"), F.min("symbols").alias("least")).collect()
     good = []
     for s in strata:
         w = max(power(s["least"], s["encoding"], counts), 1e-6)
         if s["passed"] and (s["rejected"] + 1) * (1 - w) / w <= false_share * s["passed"]:
             good.append(f"{s['encoding']}:{s['stratum']}")
     found = runs.filter(~rejected & F.concat_ws(":", "encoding", F.col("stratum").cast("string")).isin(good)) if good else runs.filter("false")
-    return found.drop("stratum")
+    return found.drop("stratum", "run")
 
 
 def _masked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
