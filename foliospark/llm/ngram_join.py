@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fragments, free_name, materialise
+from .common import fragments, free_name, materialise, released
 from .textkernel import column_bytes, grams, sliced, unique_rows
 
 NGRAM = 3
@@ -114,7 +114,7 @@ def _shared(got: pa.Table) -> pa.Table:
 
 
 def survivors(docs: DataFrame, n: int, threshold: float, count: int) -> DataFrame:
-    per = _cut_texts(docs, n, count, True).groupBy("frag").applyInArrow(lambda t: _shared(t), "doc_id long, shared int, size int")
+    per = _cut_texts(docs, n, count, True).groupBy("frag").applyInArrow(lambda t: released(_shared(t)), "doc_id long, shared int, size int")
     total = per.groupBy("doc_id").agg(F.sum("shared").alias("shared"), F.sum("size").alias("size"))
     return total.filter(F.col("shared") >= threshold * F.col("size") - 1e-6).select("doc_id")
 
@@ -241,7 +241,7 @@ def _candidates(threshold: float):
         apart = a != b
         return pa.table({"a": a[apart].astype(np.int64), "b": b[apart].astype(np.int64)})
 
-    return run
+    return lambda t: released(run(t))
 
 
 def _overlaps(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -303,7 +303,7 @@ def similar_pairs(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD)
     alive = materialise(survivors(docs, n, threshold, count).join(links.filter("doc_id = rep").select("doc_id"), "doc_id", "left_semi"), "survivors")
     few = alive.count() <= BROADCAST_ROWS
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(alive) if few else alive, "doc_id", "left_semi")
-    known = _cut_texts(texts, n, count, False).groupBy("frag").applyInArrow(lambda t: _frequencies(t), "doc_id long, size int, grams binary, df binary")
+    known = _cut_texts(texts, n, count, False).groupBy("frag").applyInArrow(lambda t: released(_frequencies(t)), "doc_id long, size int, grams binary, df binary")
     sets = known.repartition(count, "doc_id").sortWithinPartitions("doc_id").mapInArrow(_ordered(threshold), "doc_id long, size int, grams binary, prefix binary")
     sets = materialise(sets, "sets")
     cuts = sets.select("doc_id", "size", "prefix").mapInArrow(_cut_prefixes(count), _BLOCKS + ", extra binary")
@@ -318,7 +318,7 @@ def similar_pairs(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD)
     needs = placed.select(cell, F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     segments = needs.join(sets.select("doc_id", "grams"), "doc_id").select("cell", "doc_id", "grams").mapInArrow(_segments, "cell int, part int, doc_id long, grams binary")
     split = placed.select(cell, F.explode(F.sequence(F.lit(0), F.lit(VERTICAL - 1))).alias("part"), "a", "b")
-    partial = segments.groupBy("cell", "part").cogroup(split.groupBy("cell", "part")).applyInArrow(lambda l, r: _overlaps(l, r), "a long, b long, overlap int")
+    partial = segments.groupBy("cell", "part").cogroup(split.groupBy("cell", "part")).applyInArrow(lambda l, r: released(_overlaps(l, r)), "a long, b long, overlap int")
     summed = partial.groupBy("a", "b").agg(F.sum("overlap").alias("overlap"))
     size = sets.select("doc_id", "size")
     full = summed.join(size.select(F.col("doc_id").alias("a"), F.col("size").alias("sa")), "a").join(size.select(F.col("doc_id").alias("b"), F.col("size").alias("sb")), "b")
