@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 import atexit
-import ctypes
 import tempfile
 import uuid
-from functools import lru_cache
 
 import pyarrow as pa
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .textkernel import release
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -75,15 +75,7 @@ def present(df: DataFrame, *columns: str) -> DataFrame:
     return df
 
 
-@lru_cache(maxsize=1)
-def _trim():
-    return getattr(ctypes.CDLL(None), "malloc_trim", None)
-
-
 def released(result: pa.Table) -> pa.Table:
-    """The result of a group's function, after the allocators gave back what the function freed: a worker serves
-    many operators and would otherwise keep the most that any of them needed."""
-    pa.default_memory_pool().release_unused()
-    if trim := _trim():
-        trim(0)
+    """The result of a group's function, after the allocators gave back what the function freed."""
+    release()
     return result

@@ -8,7 +8,9 @@ bounds a worker's memory whatever Arrow batch it was sent.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -128,6 +130,19 @@ def grams(words: Words, n: int, short: bool = False) -> tuple[np.ndarray, np.nda
     return g, r, at
 
 
+@lru_cache(maxsize=1)
+def _trim():
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release() -> None:
+    """Make the allocators give back what is free: a worker serves many tasks and would otherwise keep the most that
+    any of them needed."""
+    pa.default_memory_pool().release_unused()
+    if trim := _trim():
+        trim(0)
+
+
 def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """A string or binary column's bytes and offsets, as numpy; a null counts as empty."""
     if column.null_count:
@@ -152,6 +167,7 @@ def sliced(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SL
             to = min(to, batch.num_rows)
             yield batch.slice(at, to - at), Words(data[off[at] : off[to]], off[at : to + 1] - off[at])
             at = to
+    release()
 
 
 def unique_rows(g: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

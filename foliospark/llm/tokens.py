@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import new_path
-from .textkernel import WHITE, column_bytes, hash_spans
+from .textkernel import WHITE, column_bytes, hash_spans, release
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -176,6 +176,7 @@ def encoded(batches: Iterator[pa.RecordBatch], path: str, text: str = "text") ->
                 ids = np.concatenate(lists)
             yield batch.slice(at, to - at), ids, n
             at = to
+    release()
 
 
 def token_counts(docs: DataFrame, path: str = VOCABULARY, id_col: str = "doc_id") -> DataFrame:
