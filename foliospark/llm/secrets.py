@@ -1,4 +1,4 @@
-"""Secret scan: a battery of randomness tests with length-aware control of false discoveries.
+"""Secret scan: a battery of randomness tests with control of false discoveries run by run.
 
 Candidates are all runs of ``LEAST`` or more characters of the usual key alphabets (base 64's padding ends a run, as
 does the sign between a name and its value).  The characters of a run tell its
@@ -7,11 +7,13 @@ is uniformly random in that encoding's alphabet, a run gets three p-values: chi-
 runs about the middle of the alphabet, and lag-one serial correlation; Fisher's method combines them.  Runs with a
 combined value under ``ALPHA`` are not random, which costs that share of true secrets.
 
-The rest are random or too short to tell, so discoveries are controlled per stratum of encoding and length: character
-counts of the whole corpus give the power with which the battery would reject an ordinary string of that length.  If
-``rejected`` of the stratum's distinct runs fail (a word that occurs a thousand times is one test, not a thousand), about (rejected + 1) (1 - power) / power ordinary ones must have passed;
-the stratum's passing runs are reported if that is at most ``FALSE_SHARE`` of them.  Long words never pass such
-a bar, nor do digit strings (ordinary digits are as even as random ones), however many there are.
+The rest are random or too short to tell, so each run is decided on its own: how likely are its characters if drawn
+evenly from its encoding's alphabet, and how likely as ordinary text of the same length?  Ordinary text is a chain over
+letters (case folded), digits and word starts, counted in the corpus's short words (no key is among them) on top of
+built-in counts, so it tells something of an empty corpus too.  With ``PRIOR`` as the share of keys among candidates, the
+two give the chance that a run is ordinary (its local false-discovery rate); it is reported if that is at most
+``FALSE_SHARE``.  How many other runs the corpus holds, and which, has no part in it: a lone key is found among any number
+of words.  Decimal digits are never reported: ordinary ones are as even as random ones.
 
 Defined results: null, empty and blank texts have no candidates; a run that occurs again, or in a repeated row, is
 reported at each place; rows of null id are scanned and reported with it; an empty table reports nothing; other
@@ -20,7 +22,6 @@ columns are not read.
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections.abc import Iterator
 
@@ -48,12 +49,20 @@ _INDEX = {name: {ord(c): i for i, c in enumerate(a)} for name, a in ALPHABETS.it
 _KEY = np.zeros(256, np.bool_)
 for _c in (_DIGIT + _UP + _LOW + "+/-_").encode():
     _KEY[_c] = True
-#: upper bounds of the length strata
-STRATA = (20, 24, 32, 40, 48, 64, 96, 128, 256, 512)
-
-
-def stratum(n: int) -> int:
-    return next((i for i, s in enumerate(STRATA) if n < s), len(STRATA))
+#: share of keys assumed among candidates
+PRIOR = 0.001
+
+_EDGE, _LONG = 27, 28
+#: letters (case folded) 0-25, digits 26, anything else 27
+_CLASS = np.full(256, _EDGE, np.int64)
+for _i in range(26):
+    _CLASS[[65 + _i, 97 + _i]] = _i
+_CLASS[48:58] = 26
+_SEPARATORS = b"-_/+"
+#: letters of ordinary text in parts of a thousand (English), a to z
+_LETTERS = (82, 15, 28, 43, 127, 22, 20, 61, 70, 2, 8, 40, 24, 67, 75, 19, 1, 60, 63, 91, 28, 10, 24, 2, 20, 1)
+#: built-in counts of each class's row: next is of the same kind (letter, digit) but for this share
+_WEIGHT, _SWITCH, _CASE_SWITCH = 50.0, 0.03, 0.1
 
 
 def encoding_of(run: bytes) -> tuple[str, bytes]:
@@ -111,17 +120,58 @@ def battery(symbols: bytes, encoding: str) -> tuple[float, float, float, float]:
     return chi, order, serial, math.exp(-f / 2) * (1 + f / 2 + f * f / 8)
 
 
-def power(n: int, encoding: str, symbols: dict[int, int]) -> float:
-    """Chance that the battery rejects an ordinary string, of the corpus's own character counts, of n symbols."""
-    q = np.array([symbols.get(ord(c), 0) + 1.0 for c in ALPHABETS[encoding]])
-    q /= q.sum()
-    k, s2, s3 = len(q), float((q**2).sum()), float((q**3).sum())
-    mean = k * (1 - s2 + n * s2) - n
-    var = (k / n) ** 2 * (4 * n**3 * (s3 - s2 * s2) + 2 * n * n * max(s2 + s2 * s2 - 2 * s3, 0.0) + 1e-9)
-    # uniformity must fall to this p when the other two tests are as expected
-    level = 2.93
-    cut = (k - 1) + level * math.sqrt(2 * (k - 1) * (n - 1) / n)
-    return _upper_tail((cut - mean) / math.sqrt(var))
+def transitions(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Counts of neighbouring classes within words (letters and digits) of under LEAST characters: 28 x 28."""
+    kind = np.full(len(data) + 2, _EDGE, np.int64)
+    kind[1:-1] = _CLASS[data]
+    ink = kind != _EDGE
+    step = np.diff(ink.astype(np.int8))
+    start, end = np.flatnonzero(step == 1) + 1, np.flatnonzero(step == -1) + 1
+    long = end - start >= LEAST
+    gone = np.zeros(len(kind) + 1, np.int32)
+    gone[start[long]] += 1
+    gone[end[long]] -= 1
+    kind[np.cumsum(gone[:-1]) > 0] = _LONG
+    code = kind[:-1] * 29 + kind[1:]
+    inner = offsets[1:-1]
+    inner = np.unique(inner[(inner > 0) & (inner < len(data))])
+    code[inner] = _LONG * 29  # the pair of two texts
+    n = np.bincount(code, minlength=29 * 29).reshape(29, 29)[:28, :28].copy()
+    n[_EDGE, _EDGE] = 0
+    return n
+
+
+def ordinary(counts: np.ndarray) -> np.ndarray:
+    """-log of the chance of each class after each (27: at a word's start), given that the word goes on."""
+    letters = np.array(_LETTERS) / sum(_LETTERS)
+    base = np.empty((28, 27))
+    base[:26], base[:26, 26] = np.append(letters * (1 - _SWITCH), 0), _SWITCH
+    base[26], base[26, 26] = np.append(letters * _SWITCH, 0), 1 - _SWITCH
+    base[27], base[27, 26] = np.append(letters * 0.9, 0), 0.1
+    n = counts[:, :27] + base * _WEIGHT
+    return -np.log(n / n.sum(1, keepdims=True))
+
+
+def chance_ordinary(run: bytes, encoding: str, body: bytes, cost: np.ndarray) -> float:
+    """Chance that a run which passed the battery is ordinary text: its local false-discovery rate."""
+    if encoding == "decimal":
+        return 1.0
+    x = _CLASS[np.frombuffer(run, np.uint8)]
+    seen = np.append(_EDGE, x[:-1])
+    ink = x != _EDGE
+    plain = float(cost[seen[ink], x[ink]].sum()) + int(ink[x == 26].sum()) * math.log(10)
+    plain += sum(body.count(c) for c in _SEPARATORS) * math.log(len(_SEPARATORS))
+    if encoding in ("letters", "base64", "base64url"):
+        raw = np.frombuffer(run, np.uint8)
+        letter, small = x < 26, raw >= 97
+        both = letter[1:] & letter[:-1]
+        switch = int((small[1:] != small[:-1])[both].sum())
+        plain -= switch * math.log(_CASE_SWITCH) + (int(both.sum()) - switch) * math.log(1 - _CASE_SWITCH)
+        plain += (int(letter.sum()) - int(both.sum())) * math.log(2)
+    even = len(body) * math.log(len(_INDEX[encoding]))
+    odds = min(even - plain, 700.0)  # log of ordinary : even, before the prior
+    ratio = math.exp(odds) * (1 - PRIOR) / PRIOR
+    return ratio / (1 + ratio)
 
 
 def candidates(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -141,53 +191,49 @@ def candidates(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return row, start - offsets[row], end - offsets[row]
 
 
-_SCHEMA = (
-    "doc_id long, sig long, start int, end int, encoding string, symbols int, p_uniform double, p_runs double, p_serial double, p_value double, "
-    "run long, symbol int, times long"
-)
+_SCHEMA = "doc_id long, sig long, start int, end int, encoding string, symbols int, p_uniform double, p_runs double, p_serial double, p_value double"
 _NAMES = [x.split()[0] for x in _SCHEMA.split(", ")]
-_KINDS = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int32(), *[pa.float64()] * 4, pa.int64(), pa.int32(), pa.int64()]
-
-
-def _tested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Tested candidates, and at the end this partition's character counts (in rows of their own)."""
-    counts = np.zeros(256, np.int64)
-    for part, words in sliced(batches):
-        counts += np.bincount(words.data, minlength=256)
-        ids, sigs = part.column(0).to_pylist(), part.column(1).to_pylist()
-        out: list[tuple] = []
-        for r, s, e in zip(*(x.tolist() for x in candidates(words.data, words.offsets))):
-            base = int(words.offsets[r])
-            run = words.data[base + s : base + e].tobytes()
-            lead = len(run) - len(run.lstrip(b"-_/+"))
-            run = run[lead:].rstrip(b"-_/+")
-            kind, body = encoding_of(run)
-            if len(body) >= LEAST:
-                out.append((ids[r], sigs[r], s + lead, s + lead + len(run), kind, len(body), *battery(body, kind), int.from_bytes(hashlib.blake2b(body, digest_size=8).digest(), "little", signed=True), None, None))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), _KINDS)], _NAMES)
+_KINDS = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int32(), *[pa.float64()] * 4]
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros((28, 28), np.int64)
+    for _, words in sliced(batches):
+        counts += transitions(words.data, words.offsets)
     used = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.nulls(len(used), k) for k in _KINDS[:11]] + [pa.array(used.astype(np.int32)), pa.array(counts[used])], _NAMES)
+    yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(counts.ravel()[used])], ["pair", "times"])
+
+
+def _found(cost: np.ndarray, alpha: float, false_share: float):
+    def run_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, words in sliced(batches):
+            ids, sigs = part.column(0).to_pylist(), part.column(1).to_pylist()
+            out: list[tuple] = []
+            for r, s, e in zip(*(x.tolist() for x in candidates(words.data, words.offsets))):
+                base = int(words.offsets[r])
+                run = words.data[base + s : base + e].tobytes()
+                lead = len(run) - len(run.lstrip(b"-_/+"))
+                run = run[lead:].rstrip(b"-_/+")
+                kind, body = encoding_of(run)
+                if len(body) < LEAST or chance_ordinary(run, kind, body, cost) > false_share:
+                    continue
+                tests = battery(body, kind)
+                if tests[-1] >= alpha:
+                    out.append((ids[r], sigs[r], s + lead, s + lead + len(run), kind, len(body), *tests))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), _KINDS)], _NAMES)
+
+    return run_all
 
 
 def scan(docs: DataFrame, alpha: float = ALPHA, false_share: float = FALSE_SHARE) -> DataFrame:
     """doc_id, sig (hash of the row's text), byte bounds, encoding and p-values of every secret found."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("sig"), "text").filter("text is not null")
-    tested = materialise(texts.mapInArrow(_tested, _SCHEMA), "tested")
-    # 256 rows at most, and one per encoding and length of a stratum
-    counts = {r["symbol"]: r["times"] for r in tested.filter("symbol is not null").groupBy("symbol").agg(F.sum("times").alias("times")).collect()}
-    runs = tested.filter("symbol is null").drop("symbol", "times")
-    rank = sum((F.col("symbols") >= s).cast("int") for s in STRATA)
-    runs = runs.withColumn("stratum", rank)
-    rejected = F.col("p_value") < alpha
-    strata = runs.select("encoding", "stratum", "run", "p_value", "symbols").distinct().groupBy("encoding", "stratum").agg(F.count_if(rejected).alias("rejected"), F.count_if(~rejected).alias("passed"), F.min("symbols").alias("least")).collect()
-    good = []
-    for s in strata:
-        w = max(power(s["least"], s["encoding"], counts), 1e-6)
-        if s["passed"] and (s["rejected"] + 1) * (1 - w) / w <= false_share * s["passed"]:
-            good.append(f"{s['encoding']}:{s['stratum']}")
-    found = runs.filter(~rejected & F.concat_ws(":", "encoding", F.col("stratum").cast("string")).isin(good)) if good else runs.filter("false")
-    return found.drop("stratum", "run")
+    counts = np.zeros(28 * 28, np.int64)
+    # 784 rows at most
+    for r in texts.mapInArrow(_counted, "pair int, times long").groupBy("pair").agg(F.sum("times").alias("times")).collect():
+        counts[r["pair"]] = r["times"]
+    return texts.mapInArrow(_found(ordinary(counts.reshape(28, 28)), alpha, false_share), _SCHEMA)
 
 
 def _masked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -221,6 +221,20 @@ def test_random_keys_are_found_and_words_are_not(spark):
     assert secrets.scan(docs(spark, []).limit(0)).count() == 0
 
 
+def test_a_lone_key_is_found_whatever_else_there_is(spark):
+    rng = random.Random(12)
+    words = sorted({w for r in spark.read.parquet(f"{DATA}/documents.parquet").filter("lang = 'en'").collect() for w in r["text"].split() if w.isascii() and w.isalpha() and w.islower()})
+    upper, mixed = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    keys = {1: "AKIA" + "".join(rng.choices(upper, k=16)), 2: "".join(rng.choices(mixed, k=40))}
+    rows = [(i, f'key = "{k}" here') for i, k in keys.items()]
+    others = [(i, sign.join(rng.choices(words, k=6)) + f"{sign}{rng.randrange(3000)}") for i, sign in enumerate("-/_" * 2000, 10)]
+    others += [(10000 + i, "INVOICES" * 3) for i in range(40)]
+    for corpus in ([], others):
+        for alone in rows:
+            assert [r["doc_id"] for r in secrets.scan(docs(spark, [alone, *corpus])).collect()] == [alone[0]]
+
+
+
 # --- 7 n-gram join
 
 
