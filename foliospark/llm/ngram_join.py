@@ -12,9 +12,10 @@ texts with Jaccard similarity of at least ``threshold`` are found, exactly:
    size - ceil(threshold x size) + 1 of both, so frequent grams (a licence line, a greeting) never meet themselves.
 4. Overlaps.  The gram order is cut into ``VERTICAL`` fragments; each counts every candidate's partial overlap on its
    own, and a sum per pair gives the overlap.  A document's segments go once to the cell of its group's least id.
+5. Rows.  ``row_pairs`` gives each pair of texts to all documents that have them, and copies to each other.
 
 Blocks of numpy bytes are shuffled, a row per fragment and slice of input, not rows per gram.  No posting list or
-group is cut: pairs within a group of m near copies are m(m-1)/2 by nature, copies cost one row each.
+group is cut: pairs within a group of m copies or near copies are m(m-1)/2 by nature; ``similar_pairs`` has one row a copy.
 
 Defined results: null, empty and blank texts are in no pair; rows with one id are one document (the union of their
 grams) and never pair with themselves; rows of null id are left out; other columns are not read; an empty table has
@@ -295,11 +296,9 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def similar_pairs(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_a < doc_b and jaccard of all pairs of distinct texts, and of every copy with the least id of its text."""
-    spark = docs.sparkSession
-    count = fragments(spark)
-    links = materialise(copies(docs), "copies")
+def _near(docs: DataFrame, links: DataFrame, n: int, threshold: float) -> DataFrame:
+    """doc_a < doc_b and jaccard of all pairs of distinct texts, by their least ids."""
+    count = fragments(docs.sparkSession)
     alive = materialise(survivors(docs, n, threshold, count).join(links.filter("doc_id = rep").select("doc_id"), "doc_id", "left_semi"), "survivors")
     few = alive.count() <= BROADCAST_ROWS
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(alive) if few else alive, "doc_id", "left_semi")
@@ -323,9 +322,29 @@ def similar_pairs(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD)
     size = sets.select("doc_id", "size")
     full = summed.join(size.select(F.col("doc_id").alias("a"), F.col("size").alias("sa")), "a").join(size.select(F.col("doc_id").alias("b"), F.col("size").alias("sb")), "b")
     jaccard = F.col("overlap").cast("double") / (F.col("sa") + F.col("sb") - F.col("overlap"))
-    near = full.select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"), jaccard.alias("jaccard")).filter(F.col("jaccard") >= threshold - 1e-12)
+    return full.select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"), jaccard.alias("jaccard")).filter(F.col("jaccard") >= threshold - 1e-12)
+
+
+def similar_pairs(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_a < doc_b and jaccard of all pairs of distinct texts, and of every copy with the least id of its text:
+    enough for ``components``; ``row_pairs`` has every pair of documents."""
+    links = materialise(copies(docs), "copies")
     same = links.filter("doc_id <> rep").select(F.col("rep").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
-    return near.unionByName(same)
+    return _near(docs, links, n, threshold).unionByName(same)
+
+
+def row_pairs(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_a < doc_b and jaccard of all pairs of documents, copies with each other and with all near texts included.
+    An id with several texts has the pairs of each of them, once, with the greatest jaccard."""
+    links = materialise(copies(docs), "copies")
+    near = materialise(_near(docs, links, n, threshold), "near")
+    left, right = links.select(F.col("rep").alias("doc_a"), F.col("doc_id").alias("x")), links.select(F.col("rep").alias("doc_b"), F.col("doc_id").alias("y"))
+    apart = near.join(left, "doc_a").join(right, "doc_b").filter("x <> y").select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "jaccard")
+    same = left.withColumnRenamed("doc_a", "rep").join(right.withColumnRenamed("doc_b", "rep"), "rep").filter("x < y").select(F.col("x").alias("doc_a"), F.col("y").alias("doc_b"), F.lit(1.0).alias("jaccard"))
+    pairs = apart.unionByName(same)
+    if links.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return pairs
+    return pairs.groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
 
 
 def components(pairs: DataFrame, a: str = "doc_a", b: str = "doc_b") -> DataFrame:

@@ -10,7 +10,7 @@ import zlib
 import numpy as np
 import pytest
 
-from foliospark.llm import decontaminate, media, ngram_join, packing, quality, secrets, substring_dedup, tokens, toxicity, warc
+from foliospark.llm import decontaminate, media, ngram_join, packing, quality, queries, secrets, substring_dedup, tokens, toxicity, warc
 from foliospark.llm.textkernel import Words
 
 DATA = "/root/testdata/sf0.01"
@@ -265,6 +265,22 @@ def test_pairs_equal_brute_force(spark):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in got)
 
 
+def test_query_has_every_pair_of_rows(spark, tmp_path):
+    rng = random.Random(13)
+    one = prose(rng, 40, 60).split()
+    near, far = [*one[:-2], "x1", "x2"], prose(rng, 40, 60).split()
+    rows = [(rng.randrange(10**6) * 100 + i, " ".join([one, near, far, ["alone", str(i)]][i % 4])) for i in range(80)] + [(None, " ".join(one)), (7, ""), (8, None)]
+    docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    sets = {i: gram_set(t) for i, t in rows if t and i is not None}
+    want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b}
+    want = {k: v for k, v in want.items() if v >= 0.5}
+    got = queries.op7_ngram_join(spark, str(tmp_path)).collect()
+    assert len(want) == 3 * 190 + 400 and len(got) == len(want)
+    assert all(abs(want[r["doc_a"], r["doc_b"]] - r["jaccard"]) < 1e-12 for r in got)
+    twice = docs(spark, [(1, "a b c d"), (2, "a b c d"), (2, "a b c d e"), (1, "a b c d e"), (3, "a b c d e")])
+    assert sorted((r["doc_a"], r["doc_b"]) for r in ngram_join.row_pairs(twice).collect()) == [(1, 2), (1, 3), (2, 3)]
+
+
 def test_components_of_a_long_chain(spark):
     pairs = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "doc_a long, doc_b long")
     got = {r["doc_id"]: r["root"] for r in ngram_join.components(pairs).collect()}
