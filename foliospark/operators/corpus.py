@@ -6,6 +6,8 @@ of their own in aggregates and match nothing in joins.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,15 +85,50 @@ def state_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     return both.select("doc_id", what.alias("action"))
 
 
-def vector_topk(vectors: DataFrame, probes: DataFrame, k: int = 10) -> DataFrame:
-    """The k most similar vectors (cosine, rounded to six places; ties by id) of each probe.  The partial top k of a
-    task's rows leave it, so the shuffle has k rows a task and probe."""
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda acc, x: acc + x)
-    p = probes.select(F.col("vec_id").alias("probe_id"), F.col("embedding").alias("probe"))
-    pairs = vectors.join(p, F.col("probe_id") != F.col("vec_id"))
-    sim = dot(F.col("embedding"), F.col("probe")) / F.sqrt(dot(F.col("embedding"), F.col("embedding")) * dot(F.col("probe"), F.col("probe")))
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """Unit vectors as rows; null and zero vectors are NaN."""
+    held = column.combine_chunks()
+    there = held.is_valid().to_numpy(zero_copy_only=False)
+    flat = held.drop_null().flatten().to_numpy(zero_copy_only=False).astype(float)
+    out = np.full((len(there), len(flat) // max(1, int(there.sum()))), np.nan)
+    out[there] = flat.reshape(int(there.sum()), -1) if len(flat) else np.nan
+    with np.errstate(invalid="ignore"):
+        return out / np.sqrt((out * out).sum(1, keepdims=True))
+
+
+def _nearest(k: int):
+    """The k nearest (more at a tie) of a block of vectors to each probe of a block."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, probes = right["vec_id"].to_numpy(), left["vec_id"].to_numpy()
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(probes[:0], ids[:0], np.zeros(0))]
+        if len(ids) and len(probes):
+            p, v = _matrix(left["embedding"]), _matrix(right["embedding"])
+            if not p.shape[1] or not v.shape[1]:  # a block of nulls
+                p, v = np.full((len(p), 1), np.nan), np.full((len(v), 1), np.nan)
+            for at in range(0, len(p), 256):
+                sim = np.round(p[at : at + 256] @ v.T, 6)
+                order = np.where(np.isnan(sim), -2.0, sim)  # without a similarity: last
+                order[probes[at : at + 256, None] == ids[None, :]] = -3.0
+                least = np.partition(order, -k, axis=1)[:, -k, None] if len(ids) > k else -2.0
+                r, c = np.nonzero((order >= least) & (order > -3.0))
+                found.append((probes[at + r], ids[c], sim[r, c]))
+        a, b, s = (np.concatenate(x) for x in zip(*found))
+        return pa.table({"probe_id": a, "vec_id": b, "similarity": pa.array(s, pa.float64(), mask=np.isnan(s))})
+
+    return run
+
+
+def vector_topk(vectors: DataFrame, probes: DataFrame, k: int = 10, block: int = 2048) -> DataFrame:
+    """The k most similar vectors (cosine, rounded to six places; ties by id; null and zero vectors last) of each probe.
+    Each pair of blocks of about ``block`` rows is one matrix product, whose partial top k leaves it."""
+    n_probes, n_vectors = (max(1, -(-df.count() // block)) for df in (probes, vectors))
+    part = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    p = probes.select(part(n_probes).alias("p"), every(n_vectors).alias("v"), F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+    v = vectors.select(every(n_probes).alias("p"), part(n_vectors).alias("v"), F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+    scored = p.groupBy("p", "v").cogroup(v.groupBy("p", "v")).applyInArrow(_nearest(k), "probe_id long, vec_id long, similarity double")
     w = Window.partitionBy("probe_id").orderBy(F.desc("similarity"), "vec_id")
-    scored = pairs.select("probe_id", "vec_id", F.round(sim, 6).alias("similarity"))
     return scored.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
 
 

@@ -259,8 +259,7 @@ SELECT probe_id, vec_id, similarity, (row_number() OVER (PARTITION BY probe_id O
 """)
 def vector_topk(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
-    probes = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("embedding"), F.min("vec_id").alias("vec_id"))
-    return corpus.vector_topk(e, probes)
+    return corpus.vector_topk(e, e)
 
 
 @query("""
