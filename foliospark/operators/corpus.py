@@ -44,23 +44,27 @@ def usage_rollup(calls: DataFrame) -> DataFrame:
     return calls.rollup("model").agg(F.count("*").alias("calls"), F.sum("tokens").cast("long").alias("tokens"), (F.grouping("model") == 1).alias("total"))
 
 
-def first_line_words(docs: DataFrame) -> DataFrame:
-    """source, doc_id, pos, keyword: Latin words of three or more characters in each document's first line."""
-    words = F.regexp_extract_all(F.split("text", "\n", 2)[0], F.lit("[A-Za-z][A-Za-z0-9]+"), F.lit(0))
+def text_words(docs: DataFrame) -> DataFrame:
+    """source, doc_id, pos, keyword: Latin words of three or more characters in all lines of each document."""
+    words = F.regexp_extract_all("text", F.lit("[A-Za-z][A-Za-z0-9]+"), F.lit(0))
     kept = F.filter(words, lambda w: (F.length(w) >= 3) & ~F.lower(w).isin("group", "list", "slide"))
     return docs.select("source", "doc_id", F.posexplode(kept).alias("pos", "keyword"))
 
 
+def keyword_counts(docs: DataFrame) -> DataFrame:
+    """All keywords of each source with their counts and first places."""
+    return text_words(docs).groupBy("source", "keyword").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "pos")).alias("first"))
+
+
 def keywords(docs: DataFrame, most: int = 15) -> DataFrame:
     """The ``most`` frequent keywords of each source (a top-k report); ties by first place."""
-    n = first_line_words(docs).groupBy("source", "keyword").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "pos")).alias("first"))
     w = Window.partitionBy("source").orderBy(F.desc("times"), "first", "keyword")
-    return n.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= most).select("source", "keyword", "times", "place")
+    return keyword_counts(docs).withColumn("place", F.row_number().over(w)).filter(F.col("place") <= most).select("source", "keyword", "times", "place")
 
 
 def keyword_index(found: DataFrame, share: float = 0.7, most: int = 50) -> DataFrame:
-    """Inverted index of the sources' keywords: those of at most ``share`` of three or more sources, the ``most``
-    of greatest document frequency."""
+    """Inverted index of the sources' keywords (``keyword_counts``, all of them): those of at most ``share`` of three or
+    more sources, the ``most`` of greatest document frequency."""
     df = found.groupBy("keyword").agg(F.count("*").alias("df"), F.array_sort(F.collect_list("source")).alias("sources"))
     n = found.agg(F.countDistinct("source").alias("n"))
     fit = df.crossJoin(F.broadcast(n)).filter((F.col("n") < 3) | (F.col("df") <= F.greatest(F.lit(1), F.floor(F.col("n") * share))))  # one row

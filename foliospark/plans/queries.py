@@ -228,7 +228,7 @@ def file_keywords_topk(spark: SparkSession, d: str) -> DataFrame:
 SELECT df.* FROM df, (SELECT count(DISTINCT source) AS n FROM top) WHERE n < 3 OR df <= greatest(1, floor(n * 0.7)) ORDER BY df DESC, keyword LIMIT 50
 """)
 def keyword_inverted_index(spark: SparkSession, d: str) -> DataFrame:
-    return corpus.keyword_index(corpus.keywords(table(spark, d, "documents")))
+    return corpus.keyword_index(corpus.keyword_counts(table(spark, d, "documents")))
 
 
 @query("""

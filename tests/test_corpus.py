@@ -29,3 +29,17 @@ def test_vectors_in_small_blocks_and_without_similarity(spark):
         got = {(r["probe_id"], r["place"]): (r["vec_id"], r["similarity"]) for r in corpus.vector_topk(df, df, 4, block).collect()}
         assert len(got) == 24 and [got[2, p][0] for p in (1, 2, 3, 4)] == [6, 1, 3, 4] and got[2, 4][1] is None
         assert [got[1, p][0] for p in (1, 2, 3)] == [2, 6, 3] and [got[4, p] for p in (1, 2)] == [(1, None), (2, None)]
+
+
+def test_index_holds_all_keywords_of_all_lines(spark, tmp_path):
+    own = {s: [f"{s}word{i:02d}" for i in range(20)] for s in "abcd"}
+    rows = []
+    for i, (s, words) in enumerate(own.items()):
+        rare = ["everywhere"] + ["shared"] * (s in "ab")
+        rows.append((i, s, " ".join(words * 2) + "\n" + " ".join(rare)))
+    spark.createDataFrame([*rows, (9, "a", None)], "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [(r["keyword"], r["df"], r["sources"]) for r in registry.queries()["keyword_inverted_index"](spark, str(tmp_path)).collect()]
+    assert got[0] == ("shared", 2, "a,b") and len(got) == 50
+    assert got[1:] == sorted((w, 1, s) for s, words in own.items() for w in words)[:49]
+    top = registry.queries()["file_keywords_topk"](spark, str(tmp_path)).collect()
+    assert sorted((r["source"], r["keyword"], r["times"], r["place"]) for r in top) == sorted((s, w, 2, i) for s, words in own.items() for i, w in enumerate(words[:15], 1))
