@@ -3,7 +3,8 @@
 A text is cut where the tokenizer's own pattern always cuts: before the white space of a word.  One space joins
 the word after it; of a longer run of white space all but its last character is one piece and the last joins the
 word if it is a space.  Equal pieces have equal ids, so only a slice's distinct pieces that the worker hasn't met
-are encoded, and ids are gathered with numpy.  The result equals encoding whole texts (tested).
+are encoded, and ids are gathered with numpy.  Texts with white space beyond ASCII are encoded whole.  The result
+equals encoding whole texts (tested on made-up ones of all kinds of white space).
 
 Binary output: every record is ``u64 length, u32 masked CRC-32C of those 8 bytes, payload, u32 masked CRC-32C of the
 payload``, little endian, the framing public record readers know.  The payload is ``i64 doc_id, u32 n, n ids`` of two
@@ -12,7 +13,8 @@ attempt; the index, a separate Parquet table, names file, offset and length of e
 attempt leaves at most a file that no index row names, and readers fetch records in any order.
 
 Defined results: a null text is a record of no ids, as an empty one; a null id is written as -1 in the payload and
-null in the index; rows with equal ids or texts are records of their own; an empty table gives an empty index.
+null in the index; rows with equal ids or texts are records of their own; a very long text is one record, encoded
+in one slice of its own; an empty table gives an empty index; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -100,6 +102,8 @@ class Encoder:
         rest = sorted(set(range(len(texts))) - set(lines))
         got = np.array(plain(b"\n".join([texts[i] for i in lines] + [b""]).decode("utf-8", "replace")), np.uint32)
         ends = np.flatnonzero(got == self.newline)
+        if len(ends) != len(lines):
+            raise ValueError("a piece took its line break along: it holds white space that pieces() doesn't know")
         other = [np.array(plain(texts[i].decode("utf-8", "replace")), np.uint32) for i in rest]
         n = np.empty(len(texts), np.int64)
         start = np.empty(len(texts), np.int64)
@@ -141,18 +145,15 @@ class Encoder:
         return ids, np.diff(total[np.searchsorted(s, offsets)])
 
 
-# White space beyond ASCII ends a word for the pattern but not for ``pieces``; such texts are encoded whole.
-_ODD = (0x1C, 0x1D, 0x1E, 0x1F)
-
-
 def _odd_rows(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    odd = np.isin(data, _ODD)
-    two = np.flatnonzero((data[:-1] == 0xC2) & ((data[1:] == 0xA0) | (data[1:] == 0x85))) if len(data) > 1 else np.zeros(0, int)
-    odd[two] = True
-    three = np.flatnonzero((data == 0xE1) | (data == 0xE2) | (data == 0xE3))
-    odd[three] = True
-    at = np.flatnonzero(odd)
-    return np.unique(np.searchsorted(offsets, at, "right") - 1)
+    """Rows with white space beyond ASCII (U+0085, U+00A0, U+1680, U+2000 to U+200A, U+2028, U+2029, U+202F, U+205F,
+    U+3000), which ends a word for the pattern but not for ``pieces``; they are encoded whole."""
+    two = np.flatnonzero(data[:-1] == 0xC2)
+    two = two[np.isin(data[two + 1], (0x85, 0xA0))]
+    three = np.flatnonzero((data[:-2] >= 0xE1) & (data[:-2] <= 0xE3)) if len(data) > 2 else np.zeros(0, np.int64)
+    code = data[three].astype(np.int64) << 16 | data[three + 1].astype(np.int64) << 8 | data[three + 2]
+    three = three[(code == 0xE19A80) | (code >= 0xE28080) & (code <= 0xE2808A) | np.isin(code, (0xE280A8, 0xE280A9, 0xE280AF, 0xE2819F, 0xE38080))]
+    return np.unique(np.searchsorted(offsets, np.concatenate([two, three]), "right") - 1)
 
 
 def encoded(batches: Iterator[pa.RecordBatch], path: str, text: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -166,14 +167,21 @@ def encoded(batches: Iterator[pa.RecordBatch], path: str, text: str = "text") ->
         while at < batch.num_rows:
             to = min(max(at + 1, int(np.searchsorted(off, off[at] + SLICE, "right")) - 1), batch.num_rows)
             part, own = data[off[at] : off[to]], off[at : to + 1] - off[at]
-            ids, n = encode(part, own)
             odd = _odd_rows(part, own)
             if len(odd):
-                lists = np.split(ids, np.cumsum(n)[:-1])
+                keep = np.ones(len(part), np.bool_)
                 for r in odd:
-                    lists[r] = np.array(encode.bpe.encode_ordinary(part[own[r] : own[r + 1]].tobytes().decode("utf-8", "replace")), np.uint32)
-                n = np.array([len(x) for x in lists], np.int64)
+                    keep[own[r] : own[r + 1]] = False
+                whole = {int(r): np.array(encode.bpe.encode_ordinary(part[own[r] : own[r + 1]].tobytes().decode()), np.uint32) for r in odd}
+                size = np.diff(own)
+                size[odd] = 0
+                ids, n = encode(part[keep], np.append(0, np.cumsum(size)))
+                lists = np.split(ids, np.cumsum(n)[:-1])
+                for r, own_ids in whole.items():
+                    lists[r], n[r] = own_ids, len(own_ids)
                 ids = np.concatenate(lists)
+            else:
+                ids, n = encode(part, own)
             yield batch.slice(at, to - at), ids, n
             at = to
     release()
@@ -309,9 +317,9 @@ def write_records(docs: DataFrame, path: str = VOCABULARY, folder: str | None =
     return spark.read.schema(_INDEX).parquet(f"{folder}/index").withColumn("file", F.concat(F.lit(folder + "/"), "file"))
 
 
-def read_records(index: DataFrame, wide: bool = False) -> DataFrame:
+def read_records(index: DataFrame) -> DataFrame:
     """doc_id and ids of the index's records, fetched by offset in whatever order the index has; both checksums of
-    each record are verified and a damaged record raises."""
+    each record are verified and a damaged record raises.  A record's length and its number of ids give their width."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened: dict[str, pa.NativeFile] = {}
@@ -327,7 +335,8 @@ def read_records(index: DataFrame, wide: bool = False) -> DataFrame:
                 if raw[:8].view("<u8")[0] != length - 16 or masked(crc32c(raw, one, one + 8))[0] != head or masked(crc32c(raw, one + 12, one + length - 4))[0] != tail:
                     raise ValueError(f"damaged record at {off} of {file}")
                 keys.append(int(raw[12:20].view("<i8")[0]))
-                lists.append(raw[24 : length - 4].view("<u4" if wide else "<u2").astype(np.int32))
+                n = int(raw[20:24].view("<u4")[0])
+                lists.append(raw[24 : length - 4].view("<u4" if length - 28 == 4 * n else "<u2").astype(np.int32))
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(lists, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return index.select("file", "offset", "length").mapInArrow(run, "doc_id long, ids array<int>")
