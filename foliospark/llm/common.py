@@ -64,9 +64,33 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def fragments(spark: SparkSession, least: int = 8) -> int:
-    """Number of hash ranges: follows spark.sql.shuffle.partitions, which the cluster sizes by its data."""
-    return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
+#: a table of at most so many bytes, as written, is sent to all executors
+BROADCAST_BYTES = 32 << 20
+#: bytes of a table's files that one hash range takes
+FRAGMENT_BYTES = 64 << 20
+
+
+def fragments(spark: SparkSession, df: DataFrame | None = None, least: int = 8) -> int:
+    """Number of hash ranges: spark.sql.shuffle.partitions, or more if df's files are larger than that many ranges
+    of ``FRAGMENT_BYTES`` (by the optimizer's statistics of the tables that it reads)."""
+    count = max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    if df is None:
+        return count
+    bytes_read = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(max(count, -(-bytes_read // FRAGMENT_BYTES)), 1 << 20) if bytes_read < 1 << 60 else count  # no statistics
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A written table, marked for broadcast if its files are under ``BROADCAST_BYTES``; else Catalyst chooses."""
+    jvm = df.sparkSession.sparkContext._jvm
+    conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    total = 0
+    for file in df.inputFiles():
+        at = jvm.org.apache.hadoop.fs.Path(file)
+        total += at.getFileSystem(conf).getFileStatus(at).getLen()
+        if total > BROADCAST_BYTES:
+            return df
+    return F.broadcast(df)
 
 
 def present(df: DataFrame, *columns: str) -> DataFrame:

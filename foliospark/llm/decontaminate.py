@@ -12,7 +12,9 @@ over the documents a chunk, so what is broadcast is bounded however large the te
 
 Defined results: null, empty and blank texts match nothing, on either side; items of one or two words are compared
 as one seed of all their words; an item that occurs in a document more than once gives one row, its best score;
-repeated rows count once; empty tables give no rows; other columns are not read.
+a tie between windows goes to the first; repeated rows count once; rows of null id are searched and lose their leaks
+like others; very long texts are searched whole; empty tables give no rows; other columns are not read and may have
+any name.
 """
 
 from __future__ import annotations
@@ -25,14 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, materialise
+from .common import materialise, small
 from .textkernel import Words, grams, sliced
 
 SEED = 3
 MATCH, MISMATCH, GAP = 2, -1, -1
 THRESHOLD = 0.5
-CHUNK_WORDS = 200_000
-BROADCAST_ROWS = 1_000_000
+CHUNK_WORDS = 2_000_000
 
 _LOW = np.arange(256, dtype=np.uint8)
 _LOW[65:91] += 32
@@ -109,8 +110,8 @@ def align(a: np.ndarray, b: np.ndarray) -> int:
     return best
 
 
-def frequencies(docs: DataFrame, chunk: Items) -> dict[int, int]:
-    """Occurrences in the corpus of each of the chunk's seeds."""
+def frequencies(docs: DataFrame, chunk: Items) -> np.ndarray:
+    """Occurrences in the corpus of each of the chunk's distinct seeds."""
     shared = docs.sparkSession.sparkContext.broadcast(chunk.distinct)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,19 +126,23 @@ def frequencies(docs: DataFrame, chunk: Items) -> dict[int, int]:
         yield pa.RecordBatch.from_arrays([pa.array(known[some].view(np.int64)), pa.array(total[some])], ["seed", "n"])
 
     found = docs.select("text").mapInArrow(run, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
-    # no more rows than the chunk has seeds
-    return {int(np.int64(r["seed"]).view(np.uint64)): r["n"] for r in found.collect()}
+    got = found.toArrow()  # no more rows than the chunk has seeds
+    total = np.zeros(len(chunk.distinct), np.int64)
+    total[np.searchsorted(chunk.distinct, got["seed"].to_numpy().view(np.uint64))] = got["n"].to_numpy()
+    return total
 
 
-def rare(chunk: Items, counts: dict[int, int]) -> Items:
+def rare(chunk: Items, counts: np.ndarray) -> Items:
     """Seeds no more frequent than their item's median seed, or than twice its lower quartile."""
-    n = np.array([counts.get(int(s), 0) for s in chunk.seed], np.int64)
-    keep = np.zeros(len(n), np.bool_)
-    for i in range(len(chunk.ids)):
-        own = np.flatnonzero(chunk.item == i)
-        if len(own):
-            keep[own] = n[own] <= max(np.median(n[own]), 2 * max(1, np.sort(n[own])[len(own) // 4]))
-    return chunk.keep(keep)
+    n = counts[np.searchsorted(chunk.distinct, chunk.seed)] if len(chunk.seed) else np.zeros(0, np.int64)
+    size = np.bincount(chunk.item, minlength=len(chunk.ids))
+    held = n[np.lexsort((n, chunk.item))]
+    first = np.cumsum(size) - size
+    most = np.zeros(len(size))
+    some = np.flatnonzero(size)
+    at, m = first[some], size[some]
+    most[some] = np.maximum((held[at + (m - 1) // 2] + held[at + m // 2]) / 2, 2 * np.maximum(1, held[at + m // 4]))
+    return chunk.keep(n <= most[chunk.item])
 
 
 def leaks_of(w: Words, chunk: Items, threshold: float) -> Iterator[tuple[int, int, float, int, int]]:
@@ -178,11 +183,16 @@ def leaks_of(w: Words, chunk: Items, threshold: float) -> Iterator[tuple[int, in
             yield r, i, best[0], best[1], best[2]
 
 
-def leaks(docs: DataFrame, bench: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, item_id, score and the aligned window (first_word, end_word) of every leak."""
+_TYPES = {"score": "double", "first_word": "int", "end_word": "int"}
+
+
+def leaks(docs: DataFrame, bench: DataFrame, threshold: float = THRESHOLD, by_text: bool = False) -> DataFrame:
+    """doc_id, item_id, score and the aligned window (first_word, end_word) of every leak; by_text: with sig, the
+    hash of the text, and a row for each text of an id."""
     spark = docs.sparkSession
-    schema = "doc_id long, item_id long, score double, first_word int, end_word int"
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    names = ["doc_id", *["sig"] * by_text, "item_id", "score", "first_word", "end_word"]
+    schema = ", ".join(f"{x} {_TYPES.get(x, 'long')}" for x in names)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.xxhash64("text").alias("sig")] * by_text, "text")
     out = None
     for chunk in _items(bench):
         shared = spark.sparkContext.broadcast(rare(chunk, frequencies(docs, chunk)))
@@ -194,22 +204,24 @@ def leaks(docs: DataFrame, bench: DataFrame, threshold: float = THRESHOLD) -> Da
                 if found:
                     r, i, s, lo, hi = zip(*found)
                     ids = [shared.value.ids[x] for x in i]
-                    yield pa.RecordBatch.from_arrays(
-                        [part.column(0).take(pa.array(r)), pa.array(ids, pa.int64()), pa.array(s, pa.float64()), pa.array(lo, pa.int32()), pa.array(hi, pa.int32())],
-                        ["doc_id", "item_id", "score", "first_word", "end_word"],
-                    )
+                    row = [part.column(i).take(pa.array(r)) for i in range(1 + by_text)]
+                    yield pa.RecordBatch.from_arrays([*row, pa.array(ids, pa.int64()), pa.array(s, pa.float64()), pa.array(lo, pa.int32()), pa.array(hi, pa.int32())], names)
 
         one = texts.mapInArrow(run, schema)
         out = one if out is None else out.unionByName(one)
     if out is None:
         return spark.createDataFrame([], schema)
     best = F.max(F.struct("score", F.negate("first_word").alias("k"), F.negate("end_word").alias("e"))).alias("b")
-    return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.score", F.negate("b.k").alias("first_word"), F.negate("b.e").alias("end_word"))
+    keys = [x for x in names if x in ("doc_id", "sig", "item_id")]
+    return out.groupBy(*keys).agg(best).select(*keys, "b.score", F.negate("b.k").alias("first_word"), F.negate("b.e").alias("end_word"))
 
 
 def clean(docs: DataFrame, bench: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without the documents that an item leaks into; all columns stay as they are."""
-    name = free_name(docs, "leaked_id")
-    bad = materialise(leaks(docs, bench, threshold).filter("doc_id is not null").select(F.col("doc_id").alias(name)).distinct(), "leaked")
-    few = bad.count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(bad) if few else bad, docs["doc_id"] == F.col(name), "left_anti")
+    """docs without the rows whose text an item leaks into, rows of null id included; all columns stay as they are.
+    Rows are known by id and hash of the text, so another row of the same id stays."""
+    bad = materialise(leaks(docs, bench, threshold, True).select("doc_id", "sig").distinct(), "leaked").toDF("its_id", "its_sig")
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])  # names of the caller's columns can't clash with ours
+    at_id, at_text = f"c{names.index('doc_id')}", f"c{names.index('text')}"
+    kept = plain.join(small(bad), plain[at_id].cast("long").eqNullSafe(F.col("its_id")) & (F.xxhash64(at_text) == F.col("its_sig")), "left_anti")
+    return kept.toDF(*names)

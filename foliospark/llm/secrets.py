@@ -16,8 +16,9 @@ two give the chance that a run is ordinary (its local false-discovery rate); it
 of words.  Decimal digits are never reported: ordinary ones are as even as random ones.
 
 Defined results: null, empty and blank texts have no candidates; a run that occurs again, or in a repeated row, is
-reported at each place; rows of null id are scanned and reported with it; an empty table reports nothing; other
-columns are not read.
+reported at each place; rows of null id are scanned and reported with it; very long texts are scanned whole, and a
+very long run is one run; runs of equal p-values are each decided alike; an empty table reports nothing; other columns
+are not read, and ``redacted`` gives them back whatever their names.
 """
 
 from __future__ import annotations
@@ -30,13 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, small
 from .textkernel import column_bytes, sliced
 
 LEAST = 16
 ALPHA = 0.01
 FALSE_SHARE = 0.05
-BROADCAST_ROWS = 500_000
 MASK = "<SECRET>"
 
 _DIGIT, _UP, _LOW = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -258,13 +258,12 @@ def redacted(docs: DataFrame, alpha: float = ALPHA, false_share: float = FALSE_S
     """docs with each secret replaced by ``MASK`` in text; all columns stay in place (n_chars is the caller's)."""
     spans = scan(docs, alpha, false_share).groupBy("doc_id", "sig").agg(F.array_sort(F.array_distinct(F.collect_list(F.struct("start", "end")))).alias("spans"))
     spans = materialise(spans, "secrets")
-    few = spans.count() <= BROADCAST_ROWS
     side = spans.select(F.col("doc_id").alias("its_id"), F.col("sig").alias("its_sig"), "spans")
     names = docs.columns
     inner = [f"c{i}" for i in range(len(names))]  # names of the caller's columns can't clash with ours
     plain = docs.toDF(*inner)
     at_text, at_id = inner[names.index("text")], inner[names.index("doc_id")]
-    held = plain.join(F.broadcast(side) if few else side, plain[at_id].cast("long").eqNullSafe(F.col("its_id")) & (F.xxhash64(at_text) == F.col("its_sig")), "left")
+    held = plain.join(small(side), plain[at_id].cast("long").eqNullSafe(F.col("its_id")) & (F.xxhash64(at_text) == F.col("its_sig")), "left")
     rest = [c for c in inner if c != at_text]
     schema = ", ".join([f"{c} {plain.schema[c].dataType.simpleString()}" for c in rest] + ["masked string"])
     done = held.select(*rest, at_text, "spans").mapInArrow(_masked, schema)

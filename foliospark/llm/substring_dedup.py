@@ -30,14 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fragments, materialise
+from .common import fragments, materialise, small
 from .ngram_join import cut, uncut
 from .textkernel import Words, column_bytes, grams, sliced
 
 LEAST = 50
 SEED = 16
 SHARD_WORDS = 300_000
-BROADCAST_ROWS = 500_000
 
 
 def _thin(at: np.ndarray, g: np.ndarray, row: np.ndarray, reach: int) -> np.ndarray:
@@ -257,14 +256,12 @@ def _regions(least: int):
 
 def repeated_spans(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """doc_id, sig (hash of the row's text) and the sorted, merged spans [first, end) of words to remove."""
-    count = fragments(docs.sparkSession)
+    count = fragments(docs.sparkSession, docs)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("sig"), "text").filter("doc_id is not null and text is not null")
     blocks = texts.mapInArrow(_select(least, count), "frag int, docs binary, times binary, grams binary, extra binary")
     hits = blocks.groupBy("frag").applyInArrow(lambda t: _repeated(t), "doc_id long, sig long, seed long, at int")
     hits = materialise(hits.groupBy("doc_id", "sig").agg(F.array_distinct(F.collect_list(F.struct("seed", "at"))).alias("hits")), "hits")
-    few = hits.count() <= BROADCAST_ROWS
-    ids = hits.select("doc_id", "sig")
-    near = texts.join(F.broadcast(ids) if few else ids, ["doc_id", "sig"], "left_semi").dropDuplicates(["doc_id", "sig"])
+    near = texts.join(small(hits.select("doc_id", "sig")), ["doc_id", "sig"], "left_semi").dropDuplicates(["doc_id", "sig"])
     regions = near.join(hits, ["doc_id", "sig"]).select("doc_id", "sig", "text", "hits").mapInArrow(_regions(least), "seed long, doc_id long, sig long, first int, words binary")
     streams = regions.repartition(count, "seed").sortWithinPartitions("seed", "doc_id", "sig", "first")
     spans = streams.mapInArrow(_shard(least), "doc_id long, sig long, first int, end int")
@@ -306,9 +303,8 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def deduplicated(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """doc_id, text without repeated spans, and the number of words removed, of every row."""
     spans = materialise(repeated_spans(docs, least), "spans")
-    few = spans.count() <= BROADCAST_ROWS
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("sig"))
-    found = texts.join(F.broadcast(spans) if few else spans, ["doc_id", "sig"], "left")
+    found = texts.join(small(spans), ["doc_id", "sig"], "left")
     return found.select("doc_id", "text", "spans").mapInArrow(_without, "doc_id long, text string, removed_words int")
 
 
