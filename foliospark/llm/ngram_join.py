@@ -3,7 +3,7 @@
 A document is the set of its word n-grams (a text of fewer words is one gram of all of them).  All pairs of distinct
 texts with Jaccard similarity of at least ``threshold`` are found, exactly:
 
-1. Copies.  Documents of equal text are linked to the least id among them, which stands for all.
+1. Copies.  Documents of equal text are linked to the least id among them, which stands for all (its class).
 2. Survivors.  The order of gram hashes is cut into fragments; each fragment counts, per document, grams that some
    other document has too, and the counts are summed.  A document with fewer than threshold x size shared grams is in
    no pair.  Only four bytes of a hash travel here: a collision can only let a document through.
@@ -12,14 +12,20 @@ texts with Jaccard similarity of at least ``threshold`` are found, exactly:
    size - ceil(threshold x size) + 1 of both, so frequent grams (a licence line, a greeting) never meet themselves.
 4. Overlaps.  The gram order is cut into ``VERTICAL`` fragments; each counts every candidate's partial overlap on its
    own, and a sum per pair gives the overlap.  A document's segments go once to the cell of its group's least id.
-5. Rows.  ``row_pairs`` gives each pair of texts to all documents that have them, and copies to each other.
+
+``similar_pairs`` has all pairs of classes, and a row for each further member of a class: copies are not expanded.
+``linked`` has a row per document with the id of its group (what pairs lead to, least id) and its numbers of copies and
+of links; both are sums over pairs of classes, so its rows grow with the documents, not with their pairs.  ``one_of_each`` needs groups only, not pairs.  It first counts each document with the least one of each of its posting
+lists; candidates whose documents that has put into one group are then left out, all others are counted, so groups
+are those of all pairs without pairs inside large groups.
 
 Blocks of numpy bytes are shuffled, a row per fragment and slice of input, not rows per gram.  No posting list or
-group is cut: pairs within a group of m copies or near copies are m(m-1)/2 by nature; ``similar_pairs`` has one row a copy.
+group is cut.
 
 Defined results: null, empty and blank texts are in no pair; rows with one id are one document (the union of their
-grams) and never pair with themselves; rows of null id are left out; other columns are not read; an empty table has
-no pairs.
+grams), copies are documents with the same texts, and no document pairs with itself; rows of null id are left out;
+very long texts are sets of all their grams; pairs of equal similarity are all there; in ``linked`` a document in no
+pair is a class of its own; other columns, whatever their names, are not read; an empty table has no pairs.
 """
 
 from __future__ import annotations
@@ -31,13 +37,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fragments, free_name, materialise, released
+from .common import fragments, free_name, materialise, released, small
 from .textkernel import column_bytes, grams, sliced, unique_rows
 
 NGRAM = 3
 THRESHOLD = 0.5
 VERTICAL = 8
-BROADCAST_ROWS = 1_000_000
 PAIRS_AT_ONCE = 1_000_000
 INK = "[^ \\t\\n\\u000B\\f\\r]"
 
@@ -52,8 +57,9 @@ def _binary(raw: np.ndarray, edges: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer((edges * raw.itemsize).astype(np.int32).tobytes()), pa.py_buffer(raw.tobytes())])
 
 
-def cut(doc: np.ndarray, g: np.ndarray, count: int, low: bool = False, extra: np.ndarray | None = None) -> pa.RecordBatch:
-    """A row per fragment: runs of documents with their numbers of grams, and the grams (their low halves)."""
+def cut(doc: np.ndarray, g: np.ndarray, count: int, low: bool = False, extra: np.ndarray | None = None, about: np.ndarray | None = None) -> pa.RecordBatch:
+    """A row per fragment: runs of documents with their numbers of grams, and the grams (their low halves); extra: of
+    each gram, about: of each gram's document, kept once a run."""
     frag = fragment_of(g, count)
     o = np.argsort(frag.astype(np.uint16) if count < 65536 else frag, kind="stable")
     frag, doc, g = frag[o], doc[o], g[o]
@@ -70,6 +76,9 @@ def cut(doc: np.ndarray, g: np.ndarray, count: int, low: bool = False, extra: np
     if extra is not None:
         columns.append(_binary(extra[o], edge))
         names.append("extra")
+    if about is not None:
+        columns.append(_binary(about[o[at]], runs))
+        names.append("about")
     return pa.RecordBatch.from_arrays(columns, names)
 
 
@@ -84,40 +93,53 @@ _BLOCKS = "frag int, docs binary, times binary, grams binary"
 
 
 def _cut_texts(docs: DataFrame, n: int, count: int, low: bool) -> DataFrame:
+    """Blocks of all texts' grams; low: of their low halves, and beside them (as fragments from ``count`` on) blocks of
+    the documents' numbers of grams."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, words in sliced(batches):
+        for k, (part, words) in enumerate(sliced(batches)):
             g, row, _ = grams(words, n, short=True)
             if len(g):
                 g, row = unique_rows(g, row)
-                yield cut(part.column(0).to_numpy()[row], g, count, low)
+                doc = part.column(0).to_numpy()
+                yield cut(doc[row], g, count, low)
+                if low:
+                    own, size = np.unique(row, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([count + k % count], pa.int32()), *(_binary(x, np.array([0, len(x)])) for x in (doc[own], size.astype(np.uint32), np.zeros(0, np.uint32)))], ["frag", "docs", "times", "grams"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null").mapInArrow(run, _BLOCKS)
 
 
 def copies(docs: DataFrame) -> DataFrame:
-    """doc_id and rep, the least id with the same text, of every document with a word."""
+    """doc_id and rep, the least id with the same texts, of every document with a word.  An id's distinct texts are
+    summed up order-free, so that no id's rows meet in one place."""
     inked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5("text").alias("same"), F.col("text").rlike(INK).alias("inked"))
-    inked = inked.filter("inked and doc_id is not null").select("doc_id", F.unhex("same").alias("same"))
-    reps = inked.groupBy("same").agg(F.min("doc_id").alias("rep"))
-    return inked.join(reps, "same").select("doc_id", "rep").distinct()
-
-
-def _shared(got: pa.Table) -> pa.Table:
+    inked = inked.filter("inked and doc_id is not null").select("doc_id", F.unhex("same").alias("same")).distinct()
+    both = [F.expr(f"bit_xor(xxhash64(same, {k}))").alias(f"h{k}") for k in (0, 1)]
+    inked = inked.groupBy("doc_id").agg(F.count("*").alias("texts"), *both)
+    reps = inked.groupBy("texts", "h0", "h1").agg(F.min("doc_id").alias("rep"))
+    return inked.join(reps, ["texts", "h0", "h1"]).select("doc_id", "rep")
+
+
+def _shared(got: pa.Table, count: int) -> pa.Table:
+    """Of each document in a fragment that has some, the number of grams which occur again; or documents' sizes."""
+    if got["frag"][0].as_py() >= count:
+        docs, sizes = (np.frombuffer(column_bytes(got[c].combine_chunks())[0], kind) for c, kind in (("docs", "<i8"), ("times", "<u4")))
+        return pa.table({"doc_id": docs, "shared": np.zeros(len(docs), np.int32), "size": sizes.astype(np.int32)})
     doc, g = uncut(got, "<u4")
     o = np.argsort(g)
     s = g[o]
     twice = np.zeros(len(s), np.bool_)
     twice[1:] = s[1:] == s[:-1]
     twice[:-1] |= twice[1:]
-    ids, back = np.unique(doc, return_inverse=True)
-    many = np.bincount(back[o][twice], minlength=len(ids))
-    return pa.table({"doc_id": ids, "shared": many.astype(np.int32), "size": np.bincount(back).astype(np.int32)})
+    ids, many = np.unique(doc[o[twice]], return_counts=True)
+    return pa.table({"doc_id": ids, "shared": many.astype(np.int32), "size": np.zeros(len(ids), np.int32)})
 
 
 def survivors(docs: DataFrame, n: int, threshold: float, count: int) -> DataFrame:
-    per = _cut_texts(docs, n, count, True).groupBy("frag").applyInArrow(lambda t: released(_shared(t)), "doc_id long, shared int, size int")
+    per = _cut_texts(docs, n, count, True).groupBy("frag").applyInArrow(lambda t: released(_shared(t, count)), "doc_id long, shared int, size int")
     total = per.groupBy("doc_id").agg(F.sum("shared").alias("shared"), F.sum("size").alias("size"))
-    return total.filter(F.col("shared") >= threshold * F.col("size") - 1e-6).select("doc_id")
+    return total.filter((F.col("shared") > 0) & (F.col("shared") >= threshold * F.col("size") - 1e-6)).select("doc_id")
 
 
 def _frequencies(got: pa.Table) -> pa.Table:
@@ -189,23 +211,34 @@ def _ordered(threshold: float):
 
 
 def _cut_prefixes(count: int):
+    """Blocks of (doc_id, size, label, prefix) rows' prefix grams; size and label go along with each document."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            raw, off = column_bytes(b.column(2))
+            raw, off = column_bytes(b.column(3))
             g = np.frombuffer(raw, "<u8")
             if len(g):
                 row = np.repeat(np.arange(b.num_rows), np.diff(off) // 8)
-                yield cut(b.column(0).to_numpy()[row], g, count, extra=b.column(1).to_numpy().astype(np.uint32)[row])
+                about = np.empty(b.num_rows, _ABOUT)
+                about["size"], about["label"] = b.column(1).to_numpy(), b.column(2).to_numpy()
+                yield cut(b.column(0).to_numpy()[row], g, count, about=about[row])
 
     return run
 
 
-def _candidates(threshold: float):
+_ABOUT = np.dtype([("size", "<u4"), ("label", "<i8")])
+
+
+def _candidates(threshold: float, part: str):
+    """Pairs of a fragment's posting lists whose sizes allow the threshold: "all" of them, "first": those with the
+    list's least document, "rest": the others, if their labels differ."""
+
     def run(got: pa.Table) -> pa.Table:
         doc, g = uncut(got)
-        size = np.frombuffer(column_bytes(got["extra"].combine_chunks())[0], "<u4").astype(np.int64)
+        about = np.frombuffer(column_bytes(got["about"].combine_chunks())[0], _ABOUT)
+        about = np.repeat(about, np.frombuffer(column_bytes(got["times"].combine_chunks())[0], "<u4"))
         o = np.lexsort((doc, g))
-        doc, g, size = doc[o], g[o], size[o]
+        doc, g, size, label = doc[o], g[o], about["size"][o].astype(np.int64), about["label"][o]
         at = np.flatnonzero(np.append(True, g[1:] != g[:-1])) if len(g) else np.zeros(0, int)
         times = np.diff(np.append(at, len(g)))
         # equal posting lists (near copies share most grams) are joined once
@@ -219,7 +252,10 @@ def _candidates(threshold: float):
             found[:] = [np.unique(np.concatenate(found))]
             waiting = 0
 
-        for s, m in zip(at[times > 1].tolist(), times[times > 1].tolist()):
+        use = times > 1
+        if part == "rest" and len(g):
+            use &= np.minimum.reduceat(label, at) != np.maximum.reduceat(label, at)
+        for s, m in zip(at[use].tolist(), times[use].tolist()):
             who = code[s : s + m]
             key = who.tobytes()
             if key in seen:
@@ -227,14 +263,16 @@ def _candidates(threshold: float):
             seen.add(key)
             if len(seen) > 100_000:
                 seen.clear()
-            z = size[s : s + m]
-            for i in range(m - 1):
+            z, own = size[s : s + m], label[s : s + m]
+            for i in range(part == "rest", 1 if part == "first" else m - 1):
                 fit = np.minimum(z[i], z[i + 1 :]) >= threshold * np.maximum(z[i], z[i + 1 :]) - 1e-6
+                if part == "rest":
+                    fit &= own[i] != own[i + 1 :]
                 pair = (np.int64(who[i]) << np.int64(32)) | who[i + 1 :][fit].astype(np.int64)
                 found.append(pair)
                 waiting += len(pair)
-            if waiting > PAIRS_AT_ONCE:
-                settle()
+                if waiting > PAIRS_AT_ONCE:
+                    settle()
         if found:
             settle()
         p = found[0] if found else np.zeros(0, np.int64)
@@ -296,18 +334,26 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _near(docs: DataFrame, links: DataFrame, n: int, threshold: float) -> DataFrame:
-    """doc_a < doc_b and jaccard of all pairs of distinct texts, by their least ids."""
-    count = fragments(docs.sparkSession)
+def _gram_sets(docs: DataFrame, links: DataFrame, n: int, threshold: float, count: int) -> DataFrame:
+    """doc_id, size, all shared grams and the prefix of every class that may be in a pair."""
     alive = materialise(survivors(docs, n, threshold, count).join(links.filter("doc_id = rep").select("doc_id"), "doc_id", "left_semi"), "survivors")
-    few = alive.count() <= BROADCAST_ROWS
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(alive) if few else alive, "doc_id", "left_semi")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(alive), "doc_id", "left_semi")
     known = _cut_texts(texts, n, count, False).groupBy("frag").applyInArrow(lambda t: released(_frequencies(t)), "doc_id long, size int, grams binary, df binary")
     sets = known.repartition(count, "doc_id").sortWithinPartitions("doc_id").mapInArrow(_ordered(threshold), "doc_id long, size int, grams binary, prefix binary")
-    sets = materialise(sets, "sets")
-    cuts = sets.select("doc_id", "size", "prefix").mapInArrow(_cut_prefixes(count), _BLOCKS + ", extra binary")
-    found = cuts.groupBy("frag").applyInArrow(_candidates(threshold), "a long, b long").distinct()
-    pairs = materialise(found, "candidates")
+    return materialise(sets, "sets")
+
+
+def _found(sets: DataFrame, threshold: float, count: int, part: str = "all", labels: DataFrame | None = None) -> DataFrame:
+    """a < b: candidates of the sets' prefixes (see ``_candidates``); labels: doc_id, root."""
+    labelled = sets.select("doc_id", "size", F.col("doc_id").alias("label"), "prefix")
+    if labels is not None:
+        labelled = sets.join(small(labels), "doc_id", "left").select("doc_id", "size", F.coalesce("root", "doc_id").alias("label"), "prefix")
+    cuts = labelled.mapInArrow(_cut_prefixes(count), _BLOCKS + ", about binary")
+    return materialise(cuts.groupBy("frag").applyInArrow(_candidates(threshold, part), "a long, b long").distinct(), "candidates")
+
+
+def _similar(sets: DataFrame, pairs: DataFrame, threshold: float, count: int) -> DataFrame:
+    """doc_a, doc_b and jaccard of the candidates that reach the threshold."""
     # a group's documents nearly always have the same least partner: their pairs are counted in its cell
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     root = materialise(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")), "roots")
@@ -326,25 +372,14 @@ def _near(docs: DataFrame, links: DataFrame, n: int, threshold: float) -> DataFr
 
 
 def similar_pairs(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_a < doc_b and jaccard of all pairs of distinct texts, and of every copy with the least id of its text:
-    enough for ``components``; ``row_pairs`` has every pair of documents."""
-    links = materialise(copies(docs), "copies")
-    same = links.filter("doc_id <> rep").select(F.col("rep").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
-    return _near(docs, links, n, threshold).unionByName(same)
-
-
-def row_pairs(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_a < doc_b and jaccard of all pairs of documents, copies with each other and with all near texts included.
-    An id with several texts has the pairs of each of them, once, with the greatest jaccard."""
+    """doc_a < doc_b, jaccard and copy: all pairs of classes (by their least ids; copy is false), and every further
+    member of a class with its least id (copy is true).  All pairs of documents follow from these."""
+    count = fragments(docs.sparkSession, docs)
     links = materialise(copies(docs), "copies")
-    near = materialise(_near(docs, links, n, threshold), "near")
-    left, right = links.select(F.col("rep").alias("doc_a"), F.col("doc_id").alias("x")), links.select(F.col("rep").alias("doc_b"), F.col("doc_id").alias("y"))
-    apart = near.join(left, "doc_a").join(right, "doc_b").filter("x <> y").select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "jaccard")
-    same = left.withColumnRenamed("doc_a", "rep").join(right.withColumnRenamed("doc_b", "rep"), "rep").filter("x < y").select(F.col("x").alias("doc_a"), F.col("y").alias("doc_b"), F.lit(1.0).alias("jaccard"))
-    pairs = apart.unionByName(same)
-    if links.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        return pairs
-    return pairs.groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
+    sets = _gram_sets(docs, links, n, threshold, count)
+    near = _similar(sets, _found(sets, threshold, count), threshold, count).withColumn("copy", F.lit(False))
+    same = links.filter("doc_id <> rep").select(F.col("rep").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard"), F.lit(True).alias("copy"))
+    return near.unionByName(same)
 
 
 def components(pairs: DataFrame, a: str = "doc_a", b: str = "doc_b") -> DataFrame:
@@ -364,29 +399,65 @@ def components(pairs: DataFrame, a: str = "doc_a", b: str = "doc_b") -> DataFram
         label = moved.select("u", F.col("next").alias("root"))
 
 
+def linked(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
+    """A row per document id: class_id, the least id that its pairs lead to (its own if it has none), copies, the
+    number of other documents with the same texts, and links, that of all others in a pair with it, copies included."""
+    count = fragments(docs.sparkSession, docs)
+    links = materialise(copies(docs), "copies")
+    sets = _gram_sets(docs, links, n, threshold, count)
+    near = materialise(_similar(sets, _found(sets, threshold, count), threshold, count).select("doc_a", "doc_b"), "near")
+    size = links.groupBy("rep").agg(F.count("*").alias("members"))
+    both = near.unionByName(near.select(F.col("doc_b").alias("doc_a"), F.col("doc_a").alias("doc_b")))
+    others = both.join(size.withColumnRenamed("rep", "doc_b"), "doc_b").groupBy(F.col("doc_a").alias("rep")).agg(F.sum("members").alias("others"))
+    of_class = size.join(others, "rep", "left").join(components(near).withColumnRenamed("doc_id", "rep"), "rep", "left")
+    held = links.join(of_class, "rep").select("doc_id", F.coalesce("root", "rep").alias("class_id"), (F.col("members") - 1).alias("copies"), (F.col("members") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").distinct()
+    zero = F.lit(0).cast("long")
+    return ids.join(held, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copies", zero).alias("copies"), F.coalesce("links", zero).alias("links"))
+
+
+def groups(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id and root, the least id that pairs lead to, of every document that has a copy or a near copy."""
+    count = fragments(docs.sparkSession, docs)
+    links = materialise(copies(docs), "copies")
+    sets = _gram_sets(docs, links, n, threshold, count)
+    first = materialise(_similar(sets, _found(sets, threshold, count, "first"), threshold, count).select("doc_a", "doc_b"), "first")
+    joined = components(first)
+    rest = _similar(sets, _found(sets, threshold, count, "rest", joined), threshold, count).select("doc_a", "doc_b")
+    # a group so far is a star about its root: rounds don't grow with its diameter again
+    star = joined.filter("doc_id <> root").select(F.col("root").alias("doc_a"), F.col("doc_id").alias("doc_b"))
+    same = links.filter("doc_id <> rep").select(F.col("rep").alias("doc_a"), F.col("doc_id").alias("doc_b"))
+    return components(star.unionByName(rest).unionByName(same))
+
+
 def one_of_each(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without those that have a near duplicate of lesser id in their group; rows of null id all stay."""
+    """docs without those that have a near duplicate of lesser id in their group; rows of null id all stay, and all
+    rows of an id that stays."""
     name = free_name(docs, "lost_id")
-    lost = components(similar_pairs(docs, n, threshold)).filter("doc_id <> root").select(F.col("doc_id").alias(name))
-    lost = materialise(lost, "lost")
-    few = lost.count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(lost) if few else lost, docs["doc_id"] == F.col(name), "left_anti")
+    lost = materialise(groups(docs, n, threshold).filter("doc_id <> root").select(F.col("doc_id").alias(name)), "lost")
+    return docs.join(small(lost), docs["doc_id"] == F.col(name), "left_anti")
 
 
 SQL = """
-WITH d AS (
-  SELECT min(doc_id) AS rep, text, list(DISTINCT doc_id) AS ids,
-         list_filter(regexp_split_to_array(text, '[ \\t\\n\\v\\f\\r]+'), lambda x: x <> '') AS w
-  FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL GROUP BY text),
+WITH RECURSIVE t AS (SELECT doc_id, list_sort(list(DISTINCT text)) AS texts FROM documents
+           WHERE doc_id IS NOT NULL AND regexp_matches(text, '[^ \\t\\n\\v\\f\\r]') GROUP BY doc_id),
+d AS (SELECT min(doc_id) AS rep, texts, list(doc_id) AS ids FROM t GROUP BY texts),
+x AS (SELECT rep, list_filter(regexp_split_to_array(text, '[ \\t\\n\\v\\f\\r]+'), lambda y: y <> '') AS w
+      FROM (SELECT rep, unnest(texts) AS text FROM d)),
 g AS (
   SELECT DISTINCT rep, unnest(CASE WHEN len(w) >= 3
     THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
-    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS gram FROM d),
+    ELSE [array_to_string(w, ' ')] END) AS gram FROM x),
 s AS (SELECT rep, count(*) AS size FROM g GROUP BY rep),
 o AS (SELECT a.rep AS doc_a, b.rep AS doc_b, count(*) AS overlap FROM g a JOIN g b ON a.gram = b.gram AND a.rep < b.rep GROUP BY ALL),
 j AS (SELECT doc_a, doc_b, overlap::DOUBLE / (x.size + y.size - overlap) AS jaccard
-      FROM o JOIN s x ON x.rep = doc_a JOIN s y ON y.rep = doc_b)
-SELECT doc_a, doc_b, jaccard FROM j WHERE jaccard >= 0.5
-UNION ALL
-SELECT rep, id, 1.0::DOUBLE FROM (SELECT rep, unnest(ids) AS id FROM d WHERE len(w) > 0) WHERE id <> rep
+      FROM o JOIN s x ON x.rep = doc_a JOIN s y ON y.rep = doc_b),
+p AS (SELECT doc_a, doc_b FROM j WHERE jaccard >= 0.5),
+e AS (SELECT doc_a, doc_b FROM p UNION ALL SELECT doc_b, doc_a FROM p),
+r AS (SELECT rep, rep AS to_id FROM d UNION SELECT r.rep, e.doc_b FROM r JOIN e ON e.doc_a = r.to_id),
+c AS (SELECT rep, min(to_id) AS class_id FROM r GROUP BY rep),
+l AS (SELECT doc_a AS rep, sum(len(ids)) AS others FROM e JOIN d ON d.rep = doc_b GROUP BY doc_a),
+m AS (SELECT unnest(ids) AS doc_id, class_id, len(ids) - 1 AS copies, len(ids) - 1 + coalesce(others, 0) AS links FROM d JOIN c USING (rep) LEFT JOIN l USING (rep))
+SELECT doc_id, coalesce(class_id, doc_id) AS class_id, coalesce(copies, 0)::BIGINT AS copies, coalesce(links, 0)::BIGINT AS links
+FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL) LEFT JOIN m USING (doc_id)
 """
