@@ -9,8 +9,9 @@ offset and write it, one gzip member a record, with a new record id, new lengths
 Defined results: a response without a body has the digest of no bytes; a revisit whose digest no response has stays
 a revisit without references (``refers_to`` null); a record without a digest (warcinfo, request, metadata) is copied
 under a fresh header; missing dates sort first and missing fields are left out of headers; line breaks in a URL are
-written percent-encoded; repeated records are records of their own, so the second copy of a response is a revisit; an
-empty table gives an empty archive index; a damaged or cut-off archive raises ValueError.
+written percent-encoded; repeated records are records of their own, so the second copy of a response is a revisit; ties of
+date go by record id; a very long block is one record, held whole by one task; other columns, whatever their names, are
+not read; an empty table gives an empty archive index; a damaged or cut-off archive raises ValueError.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fragments, new_path
+from .common import fragments, materialise, new_path
 
 LEVEL = 3
 RANGE_BYTES = 8_000_000
@@ -171,7 +172,7 @@ def headers(spark: SparkSession, files: list[str]) -> DataFrame:
                 yield _batch(rows, _INDEX)
 
     named = spark.createDataFrame([(f,) for f in files], "file string")
-    return (named.repartition(len(files), "file") if files else named).mapInArrow(run, _INDEX)
+    return (named.coalesce(1).repartition(len(files)) if files else named).mapInArrow(run, _INDEX)
 
 
 class _Archive:
@@ -247,7 +248,9 @@ def resolved(index: DataFrame) -> DataFrame:
     """The index with each record's new type and the original that it refers to.  Originals are partial minima, so a
     digest that very many records share is no large task; the join's other side has one row a digest."""
     first = index.filter("type = 'response' and digest is not null").groupBy("digest").agg(F.min(F.struct("date", "record_id", "url", "file", "offset")).alias("o"))
-    held = index.join(first, "digest", "left")
+    # records without a digest (requests, metadata) don't meet in one place
+    named, rest = index.filter("digest is not null"), index.filter("digest is null").withColumn("o", F.lit(None).cast(first.schema["o"].dataType))
+    held = named.join(first, "digest", "left").unionByName(rest)
     itself = (F.col("type") == "response") & (F.col("o.file") == F.col("file")) & (F.col("o.offset") == F.col("offset"))
     refers = F.col("o").isNotNull() & ~itself
     return held.select(
@@ -341,8 +344,11 @@ def crawl(pages: DataFrame) -> DataFrame:
 
 
 def resolve_pages(pages: DataFrame) -> DataFrame:
-    """Archive a crawl of the pages, resolve its revisits and write it deduplicated."""
-    return deduplicate(write(crawl(pages))).select("record_id", "fresh_id", "type", "url", "date", "digest", "refers_to", "block_length")
+    """Archive a crawl of the pages, read the archives' headers, resolve the revisits and write new archives."""
+    spark = pages.sparkSession
+    files = [r["file"] for r in write(crawl(pages)).select("file").distinct().collect()]  # one a task that wrote
+    index = materialise(headers(spark, files).filter("type <> 'warcinfo'"), "headers")
+    return deduplicate(index).select("record_id", "fresh_id", "type", "url", "date", "digest", "refers_to", "block_length")
 
 
 SQL = """
