@@ -1,14 +1,15 @@
 """Sequence packing: bounded-space online best fit per packer, then one merge of what the packers leave open.
 
-Documents are cut at ``window`` tokens; a hash of the id deals the pieces to packers, each of which sees its pieces
-in order of id and keeps a fixed number of windows open.  A piece goes to the open window with the least room that
+Documents are cut at ``window`` tokens; a hash of the id and of the row's place deals them to packers (so that an id
+with very many rows, or null, doesn't fill one packer), each of which sees its pieces in order of id and keeps a fixed number of windows open.  A piece goes to the open window with the least room that
 still takes it (ties: the oldest).  When none does and all places are in use, the fullest is emitted (ties: the
 oldest) and a fresh window takes the piece.  Windows still open at the end are merged whole, fullest first, by best
 fit; up to ``MERGE`` packers share a merger, so no task grows with the data.  Only ids and lengths are shuffled.
 
 Defined results: texts without tokens (null, empty) are in no window; a text of n tokens gives n // window full
-windows of its own and a piece of the rest; rows with equal ids are placed each for itself, in order of length; null
-ids are dealt as one id; an empty table gives no windows.
+windows of its own and a piece of the rest; rows with equal ids are placed each for itself, in order of length; rows
+of null id too; a very long text fills windows of its own first; other columns, whatever their names, are not
+read; an empty table gives no windows.
 """
 
 from __future__ import annotations
@@ -112,7 +113,8 @@ def pack(counts: DataFrame, window: int = 2048, places: int = 64, packers: int |
         done = [(packers + key[0].as_py(), i, False, held) for i, held in enumerate(merge(todo, window))]
         return pa.Table.from_batches([_rows(done)])
 
-    dealt = counts.filter("n_tokens > 0").select(F.pmod(F.xxhash64("doc_id"), F.lit(packers)).alias("packer"), "doc_id", F.col("n_tokens").cast("long").alias("n_tokens"))
+    place = F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(packers))
+    dealt = counts.filter("n_tokens > 0").select(place.alias("packer"), "doc_id", F.col("n_tokens").cast("long").alias("n_tokens"))
     streams = dealt.repartition(packers, "packer").sortWithinPartitions("packer", "doc_id", "n_tokens")
     packed = materialise(streams.mapInArrow(run, _PACKED), "packed")
     merged = packed.filter("open").groupBy(F.floor(F.col("packer") / MERGE).cast("long").alias("merger")).applyInArrow(join_up, _PACKED)

@@ -5,9 +5,10 @@ Gaussian.  Class covariances are shrunk towards the pooled covariance and a ridg
 difference of the two classes' log-densities, from Mahalanobis distances by cached Cholesky factors.
 
 Defined results: a null text counts as empty; empty and blank texts get the statistics of a text without words
-and are scored like any other; rows with a null id are scored too; equal texts get equal scores; an empty table
-gives an empty table; other columns pass through untouched, whatever their names.  Without labelled rows of both
-classes there is no model and ``fit`` raises ValueError.
+and are scored like any other; rows with a null id are scored too; equal texts get equal scores; a very long text is
+measured whole; a score equal to the threshold is kept; an empty table gives an empty table; other columns pass through
+untouched, whatever their names.  Without labelled rows of both classes (an empty table of labels or documents) there
+is nothing to tell them apart by: ``fit`` gives the model that scores 0 and keeps every row.
 """
 
 from __future__ import annotations
@@ -103,7 +104,7 @@ class Discriminant:
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """Log-density of good less that of low."""
-        z = (x - self.centre) / self.scale
+        z = (x - self.centre) / np.maximum(self.scale, 1e-6)
         dens = []
         for c in (0, 1):
             w = (z - self.mean[c]) @ self.whiten[c].T
@@ -111,6 +112,10 @@ class Discriminant:
         return dens[1] - dens[0]
 
 
+#: scores every text 0 and keeps it
+NEUTRAL = Discriminant(*(np.zeros(s) for s in ((len(STATISTICS),), (1,), (2, len(STATISTICS)), (2, len(STATISTICS), len(STATISTICS)), (2,))), 0.0)
+
+
 def fit_arrays(x: np.ndarray, y: np.ndarray, pooled: float = 0.1, ridge: float = 0.02, keep: float = 0.998) -> Discriminant:
     """Fit on statistics x and labels y (1 good).  keep: share of good training rows the threshold must keep."""
     y = np.asarray(y)
@@ -144,14 +149,18 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000, **settings: float) -> Discriminant:
     """Fit on at most ``most`` labelled documents: those whose ids have the least hashes (a bound on what is
     fitted, not on what is scored).  Rows of labels without id or class are left out; a repeated id counts once,
-    with its least label."""
+    with its least label and the least statistics of its texts."""
     named = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("y"))
     sample = named.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    found = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select(F.col("y").cast("int").alias("y"), "text")
-    got = found.mapInArrow(_measured, "y int, x array<double>").toArrow()
+    found = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select(F.struct(F.col("doc_id").cast("long").alias("i"), F.col("y").cast("int").alias("y")).alias("y"), "text")
+    # a row an id: what is sent to the driver is bounded however often an id is repeated
+    each = found.mapInArrow(_measured, "y struct<i:long,y:int>, x array<double>").groupBy("y.i").agg(F.min("y.y").alias("y"), F.min("x").alias("x"))
+    got = each.toArrow()
+    y = got["y"].to_numpy()
+    if min((y == 0).sum(), (y == 1).sum()) < 2:
+        return NEUTRAL
     x = np.asarray(got["x"].combine_chunks().flatten()).reshape(got.num_rows, len(STATISTICS))
     # rows arrive in any order: sorting makes sums, hence the model, repeatable
-    y = got["y"].to_numpy()
     o = np.lexsort([*x.T, y])
     return fit_arrays(x[o], y[o], **settings)
 

@@ -256,7 +256,7 @@ def _masked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def redacted(docs: DataFrame, alpha: float = ALPHA, false_share: float = FALSE_SHARE) -> DataFrame:
     """docs with each secret replaced by ``MASK`` in text; all columns stay in place (n_chars is the caller's)."""
-    spans = scan(docs, alpha, false_share).groupBy("doc_id", "sig").agg(F.array_sort(F.array_distinct(F.collect_list(F.struct("start", "end")))).alias("spans"))
+    spans = scan(docs, alpha, false_share).groupBy("doc_id", "sig").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
     spans = materialise(spans, "secrets")
     side = spans.select(F.col("doc_id").alias("its_id"), F.col("sig").alias("its_sig"), "spans")
     names = docs.columns

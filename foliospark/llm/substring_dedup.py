@@ -18,7 +18,8 @@ broadcast automata would grow with it and every document would stream through al
 
 Defined results: null texts stay null, empty and blank ones as they are; rows with equal ids count as one document
 and never strike each other; of equal texts under different ids the least id's stays; rows of null id are neither
-reference nor cleaned; an empty table stays empty; other columns are not read.
+reference nor cleaned; very long texts are compared whole; an empty table stays empty; other columns, whatever their
+names, are not read.
 """
 
 from __future__ import annotations
@@ -260,7 +261,7 @@ def repeated_spans(docs: DataFrame, least: int = LEAST) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("sig"), "text").filter("doc_id is not null and text is not null")
     blocks = texts.mapInArrow(_select(least, count), "frag int, docs binary, times binary, grams binary, extra binary")
     hits = blocks.groupBy("frag").applyInArrow(lambda t: _repeated(t), "doc_id long, sig long, seed long, at int")
-    hits = materialise(hits.groupBy("doc_id", "sig").agg(F.array_distinct(F.collect_list(F.struct("seed", "at"))).alias("hits")), "hits")
+    hits = materialise(hits.groupBy("doc_id", "sig").agg(F.collect_set(F.struct("seed", "at")).alias("hits")), "hits")
     near = texts.join(small(hits.select("doc_id", "sig")), ["doc_id", "sig"], "left_semi").dropDuplicates(["doc_id", "sig"])
     regions = near.join(hits, ["doc_id", "sig"]).select("doc_id", "sig", "text", "hits").mapInArrow(_regions(least), "seed long, doc_id long, sig long, first int, words binary")
     streams = regions.repartition(count, "seed").sortWithinPartitions("seed", "doc_id", "sig", "first")

@@ -4,10 +4,12 @@ import base64
 import hashlib
 import io
 import random
+import re
 import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from foliospark.llm import decontaminate, media, ngram_join, packing, quality, queries, secrets, substring_dedup, tokens, toxicity, warc
@@ -57,10 +59,25 @@ def test_quality_on_held_out_labels(spark):
     assert np.mean(good) > 0.95 and np.mean(bad) < 0.5
 
 
-def test_quality_needs_both_classes(spark):
-    d = docs(spark, [(1, "a b")])
-    with pytest.raises(ValueError, match="both classes"):
-        quality.fit(d, spark.createDataFrame([(1, 1)], "doc_id long, quality int"))
+def odd_rows(rng):
+    """Null and repeated ids, null, empty, blank and very long texts, and columns named like those inside."""
+    texts = [None, "", " \n ", "same words here again", "same words here again", prose(rng, 30_000, 500), "good"]
+    return [(i, t, "en" if k % 2 else None, k, "x") for k, (i, t) in enumerate(zip([1, 2, 3, 4, 4, None, 5], texts))]
+
+
+ODD = "doc_id long, text string, lang string, y int, score string"
+
+
+def test_quality_on_odd_rows(spark):
+    rows = odd_rows(random.Random(20))
+    d, labels = spark.createDataFrame(rows, ODD), spark.createDataFrame([(1, 0), (2, 0), (4, 1), (5, 1), (5, 1), (None, 0), (4, None)], "doc_id long, quality int")
+    for model in (quality.fit(d, labels), quality.fit(d, labels.filter("quality = 1")), quality.fit(d.limit(0), labels)):
+        got = quality.score(d, model).collect()
+        x = quality.statistics(words_of([t or "" for _, t, *_ in rows]))
+        assert sorted((r["doc_id"] or 0, round(r["score"], 9), r["keep"]) for r in got) == sorted((i or 0, round(float(v), 9), bool(v >= model.threshold)) for (i, *_), v in zip(rows, model.score(x)))
+        assert sorted(map(repr, quality.kept(d, model).collect())) == sorted(repr(r) for r, v in zip(d.collect(), model.score(x)) if v >= model.threshold)
+        assert quality.score(d.limit(0), model).count() == 0
+    assert quality.kept(d, quality.NEUTRAL).count() == len(rows)
 
 
 # --- 2 media
@@ -94,6 +111,57 @@ def test_png_checksum_is_checked():
     assert zlib.crc32(b"") == 0 and struct.calcsize(">I4s") == 8
 
 
+@pytest.mark.parametrize("kind", media.MAKERS)
+def test_every_validator(kind):
+    for note in (b"", b"x", b"<p>100 %</p>" * 300, b"long " * 200_000):
+        made = media.MAKERS[kind](note)
+        assert media.main_type(made) == (kind, len(made))
+        for cut in {len(made) // 2, len(made) - 1}:
+            assert media.main_type(made[:cut])[1] != len(made)
+        if kind != "audio/flac":  # has no length: takes all that follows
+            assert [x[:3] for x in media.objects(b"some text " + made + b" tail")] == [(kind, 10, len(made))]
+
+
+def naive_objects(content):
+    """All offsets by all validators."""
+    found, at = [], 0
+    while at < len(content):
+        for magic, place, _, valid in media.SIGNATURES:
+            if content[at + place : at + place + len(magic)] == magic and (n := valid(content, at)):
+                found.append((at, n))
+                at += n
+                break
+        else:
+            at += 1
+    return found
+
+
+def test_objects_equal_a_scan_of_all_offsets():
+    rng = random.Random(21)
+    for _ in range(60):
+        parts = []
+        for _ in range(rng.randrange(1, 7)):
+            made = rng.choice(list(media.MAKERS.values()))(prose(rng, rng.randrange(20)).encode())
+            parts.append(rng.choice([made, made[: rng.randrange(len(made))], rng.randbytes(rng.randrange(40)), b"BM RIFF PK\3\4 ID3 \xff\xd8\xff", b"text "]))
+        content = b"".join(parts)
+        assert [(at, n) for _, at, n, _ in media.objects(content)] == naive_objects(content)
+
+
+def test_declared_types_stay_unless_contradicted(spark):
+    rows = [(1, "text/csv", b"a,b"), (2, "font/woff2", b"wOF2\0\1"), (3, "image/png", b"\0\1"), (4, "application/json; charset=utf-8", b"{}"), (5, "text/plain", b" <!-- c --> <HTML>"), (6, None, b"a"), (7, "image/jpeg", media.MAKERS["image/heic"](b"")), (7, "text/csv", b"a,b"), (None, "text/csv", None)]
+    d = spark.createDataFrame([(*r, "x", 1) for r in rows], "media_id long, declared string, content binary, type string, carved int")
+    got = sorted((r["media_id"] or 0, r["type"] or "", r["corrected"]) for r in media.sniffed(d).collect())
+    assert got == [(0, "", False), (1, "text/csv", False), (2, "font/woff2", False), (3, "application/octet-stream", True), (4, "application/json", False), (5, "text/html", True), (6, "text/plain", True), (7, "image/heic", True), (7, "text/csv", False)]
+    assert media.sniffed(d.limit(0)).count() == 0 and media.carved(d).count() == 0
+
+
+def test_carved_bytes(spark):
+    inside = [media.make_gif(b"abc"), media.make_pdf(b"x" * 10)]
+    page = b"<html>" + inside[0] + b" and data:;base64," + base64.b64encode(inside[1]) + b" end"
+    got = media.carved(spark.createDataFrame([(9, page), (10, None), (11, b"")], "media_id long, content binary")).collect()
+    assert [(r["media_id"], r["offset"], bytes(r["content"])) for r in sorted(got, key=lambda r: r["offset"])] == [(9, 6, inside[0]), (9, page.index(b"base64,") + 7, inside[1])]
+
+
 # --- 3 packing
 
 
@@ -195,6 +263,50 @@ def test_records_round_trip_and_damage(spark, tmp_path):
         tokens.read_records(index).collect()
 
 
+def test_ids_equal_the_tokenizer_on_all_kinds_of_white_space():
+    bpe = tokens.encoding(tokens.VOCABULARY)
+    rng = random.Random(15)
+    bits = ["a", "Word", "don't", "'s", "12", "4", "!", "...", "é", "ß", "漢", "か", "—", "“", "😀", "×", "À", "\u200b", "\x00", *"\xa0\u3000\u2028\u2029\u0085\u1680\u2003\u202f\u205f\x1c\x1f\x0b\x0c\r\n\t ", "  ", "\n\n", " "]
+    for _ in range(10_000):
+        texts = ["".join(rng.choices(bits, k=rng.randrange(14))) if rng.random() > 0.05 else None for _ in range(rng.randrange(1, 6))]
+        batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts, pa.string())], ["doc_id", "text"])
+        got = [x.tolist() for _, ids, n in tokens.encoded(iter([batch]), tokens.VOCABULARY) for x in np.split(ids, np.cumsum(n)[:-1])]
+        assert got == [bpe.encode_ordinary(t or "") for t in texts]
+
+
+def test_token_queries_on_odd_rows(spark, tmp_path):
+    """op5 and op3 from texts on, against the tokenizer and the packers' contract."""
+    bpe = tokens.encoding(tokens.VOCABULARY)
+    rng = random.Random(16)
+    texts = ["para one.\n\u00a0\npara two ! x", "\u00a0", "!", "", None, prose(rng, 9000, 10**6), "same", "same", "same"]
+    ids = [1, 2, 3, 4, 5, 6, 7, 7, None]
+    d = spark.createDataFrame([(i, t, "x", 3) for i, t in zip(ids, texts)], "doc_id long, text string, ids string, n_tokens int")
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    want = sorted(((-1 if i is None else i), bpe.encode_ordinary(t or "")) for i, t in zip(ids, texts))
+    index = queries.op5_token_records(spark, str(tmp_path))
+    assert sorted((r["doc_id"], r["ids"]) for r in tokens.read_records(index).collect()) == want
+    assert index.filter("doc_id is null").count() == 1 and tokens.write_records(d.limit(0)).count() == 0
+    windows = queries.op3_packing(spark, str(tmp_path)).collect()
+    cells = sorted(((-1 if i is None else i), s, n) for r in windows for i, s, n in zip(r["doc_ids"], r["starts"], r["lengths"]))
+    assert cells == sorted((i, s, min(2048, len(x) - s)) for i, x in want for s in range(0, len(x), 2048))
+    assert all(r["fill"] == sum(r["lengths"]) <= 2048 for r in windows)
+
+
+def test_merge_equals_brute_force():
+    rng = random.Random(17)
+    for _ in range(50):
+        todo = [(rng.randrange(1, 40), (0, k), [(k, 0, 0)]) for k in range(rng.randrange(30))]
+        bins = []
+        for fill, key, held in sorted(todo, key=lambda x: (-x[0], x[1])):
+            fits = [b for b in bins if b[0] >= fill]
+            best = min(fits, key=lambda b: (b[0], b[1])) if fits else [40, len(bins), []]
+            if not fits:
+                bins.append(best)
+            best[0] -= fill
+            best[2] += held
+        assert packing.merge(todo, 40) == [b[2] for b in bins]
+
+
 def test_crc32c_known_value():
     data = np.frombuffer(b"123456789" + b"\0" * 32, np.uint8)
     assert tokens.crc32c(data, np.array([0, 9]), np.array([9, 41])).tolist() == [0xE3069283, 0x8A9136AA]
@@ -235,6 +347,52 @@ def test_a_lone_key_is_found_whatever_else_there_is(spark):
 
 
 
+def test_p_values_are_even_on_random_runs():
+    rng = random.Random(22)
+    for name, size in (("hex", 40), ("base64", 64), ("upper36", 32)):
+        p = np.array([secrets.battery("".join(rng.choices(secrets.ALPHABETS[name], k=size)).encode(), name) for _ in range(2000)])
+        for column in p.T:
+            assert abs((column < 0.05).mean() - 0.05) < 0.025 and abs((column < 0.5).mean() - 0.5) < 0.12
+    assert secrets.battery(b"a" * 40, "lower")[3] < 1e-6 and secrets.battery(b"abcdefghijklmnopqrstuvwxyz" * 2, "lower")[3] < 1e-6
+
+
+def test_scan_equals_a_plain_loop(spark):
+    rng = random.Random(23)
+    rows = [(i, rng.choice(["k = ", "x"]) + "".join(rng.choices("abcdef0123456789", k=rng.choice([10, 15, 16, 40]))) + rng.choice(["", " word", "+/", "_-"]) + " " + prose(rng, 30)) for i in range(60)]
+    rows += [(3, None), (None, ""), (None, rows[5][1]), (5, rows[5][1]), (70, "".join(rng.choices("abcdef0123456789", k=30_000))), (71, prose(rng, 20_000))]
+    counts = np.zeros((28, 28), np.int64)
+    for _, t in rows:
+        for word in re.findall(rb"[A-Za-z0-9]+", (t or "").encode()):
+            if len(word) < secrets.LEAST:
+                kinds = [27, *(26 if 48 <= c < 58 else (c | 32) - 97 for c in word), 27]
+                for x, y in zip(kinds, kinds[1:]):
+                    counts[x, y] += 1
+    cost = secrets.ordinary(counts)
+    want = []
+    for i, t in rows:
+        for m in re.finditer(rb"[A-Za-z0-9+/_-]{16,}", (t or "").encode()):
+            run = m.group().strip(b"-_/+")
+            at = m.start() + m.group().index(run)
+            kind, body = secrets.encoding_of(run)
+            if len(body) >= secrets.LEAST and secrets.chance_ordinary(run, kind, body, cost) <= secrets.FALSE_SHARE and secrets.battery(body, kind)[3] >= secrets.ALPHA:
+                want.append((i, at, at + len(run)))
+    d = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, spans string, masked int")
+    got = [(r["doc_id"], r["start"], r["end"]) for r in secrets.scan(d).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr) and len(want) > 20
+    masked = secrets.redacted(d).collect()
+    spans = {}
+    for i, a, b in set(want):
+        spans.setdefault(i, []).append((a, b))
+    for r in masked:
+        raw = r["text"]
+        if raw is not None and r["doc_id"] is not None and r["doc_id"] not in (3, 5):
+            text = dict(rows[:60] + rows[-2:])[r["doc_id"]].encode()
+            for a, b in sorted(spans.get(r["doc_id"], []), reverse=True):
+                text = text[:a] + secrets.MASK.encode() + text[b:]
+            assert raw == text.decode()
+    assert secrets.redacted(d).columns == d.columns and len(masked) == len(rows) and secrets.redacted(d.limit(0)).count() == 0
+
+
 # --- 7 n-gram join
 
 
@@ -265,20 +423,58 @@ def test_pairs_equal_brute_force(spark):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in got)
 
 
-def test_query_has_every_pair_of_rows(spark, tmp_path):
+def brute_groups(sets):
+    root = {i: i for i in sets}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and len(sets[a] & sets[b]) >= 0.5 * len(sets[a] | sets[b]):
+                x, y = sorted((top(a), top(b)))
+                root[y] = x
+    return {i: top(i) for i in sets}
+
+
+def test_query_counts_every_pair_of_rows(spark, tmp_path):
     rng = random.Random(13)
     one = prose(rng, 40, 60).split()
     near, far = [*one[:-2], "x1", "x2"], prose(rng, 40, 60).split()
     rows = [(rng.randrange(10**6) * 100 + i, " ".join([one, near, far, ["alone", str(i)]][i % 4])) for i in range(80)] + [(None, " ".join(one)), (7, ""), (8, None)]
     docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
-    sets = {i: gram_set(t) for i, t in rows if t and i is not None}
-    want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b}
-    want = {k: v for k, v in want.items() if v >= 0.5}
-    got = queries.op7_ngram_join(spark, str(tmp_path)).collect()
-    assert len(want) == 3 * 190 + 400 and len(got) == len(want)
-    assert all(abs(want[r["doc_a"], r["doc_b"]] - r["jaccard"]) < 1e-12 for r in got)
-    twice = docs(spark, [(1, "a b c d"), (2, "a b c d"), (2, "a b c d e"), (1, "a b c d e"), (3, "a b c d e")])
-    assert sorted((r["doc_a"], r["doc_b"]) for r in ngram_join.row_pairs(twice).collect()) == [(1, 2), (1, 3), (2, 3)]
+    sets = {i: gram_set(t or "") for i, t in rows if i is not None}
+    text = dict(rows)
+    root = brute_groups(sets)
+    alike = {i: [j for j in sets if j != i and sets[i] and len(sets[i] & sets[j]) >= 0.5 * len(sets[i] | sets[j])] for i in sets}
+    want = sorted((i, root[i], sum(text[j] == text[i] for j in alike[i]), len(alike[i])) for i in sets)
+    got = queries.op7_ngram_join(spark, str(tmp_path))
+    assert sorted(map(tuple, got.select("doc_id", "class_id", "copies", "links").collect())) == want and sum(x[3] for x in want) == 2 * (3 * 190 + 400)
+
+
+def test_an_id_with_several_texts_is_one_document(spark):
+    rows = [(1, "a b c d"), (2, "a b c d"), (2, "a b c d e"), (1, "a b c d e"), (3, "a b c d e"), (3, "a b c d e"), (4, None), (4, "a b c d")]
+    got = sorted((r["doc_a"], r["doc_b"], round(r["jaccard"], 6), r["copy"]) for r in ngram_join.similar_pairs(docs(spark, rows)).collect())
+    # {abc bcd cde} of 1 and 2 (copies) and 3, {abc bcd} of 4
+    assert got == [(1, 2, 1.0, True), (1, 3, 1.0, False), (1, 4, 0.666667, False), (3, 4, 0.666667, False)]
+    assert ngram_join.similar_pairs(docs(spark, rows).limit(0)).count() == 0
+
+
+def test_groups_equal_those_of_all_pairs(spark):
+    rng = random.Random(14)
+    base = [prose(rng, 24, 40).split() for _ in range(12)]
+    rows = []
+    for i in range(400):
+        w = list(rng.choice(base)) if rng.random() < 0.8 else prose(rng, 24, 40).split()
+        for _ in range(rng.randrange(7)):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(20)}"
+        rows.append((rng.randrange(10**6) * 1000 + i, " ".join(w)))
+    want = brute_groups({i: gram_set(t) for i, t in rows})
+    assert 20 < len(set(want.values())) < 380
+    kept = {r["doc_id"] for r in ngram_join.one_of_each(docs(spark, rows)).collect()}
+    assert kept == {i for i, r in want.items() if i == r}
 
 
 def test_components_of_a_long_chain(spark):
@@ -305,6 +501,55 @@ def test_toxicity_on_held_out_labels(spark):
     assert hit / max(1, flagged) > 0.8 and hit / toxic > 0.8
 
 
+def test_pooling_equals_a_loop_and_gradients_a_difference():
+    rng = np.random.default_rng(24)
+    net = toxicity.Network(rng.normal(0, 1, (1 << toxicity.BITS, toxicity.DIM)), [rng.normal(0, 0.5, (w, toxicity.DIM, toxicity.FILTERS)) for w in toxicity.WIDTHS], [rng.normal(0, 0.5, toxicity.FILTERS) for _ in toxicity.WIDTHS], rng.normal(0, 1, toxicity.FILTERS * len(toxicity.WIDTHS)), rng.normal(0, 1, 1))
+    texts = [rng.integers(0, 50, (n, 2)).astype(np.int32) for n in (1, 2, 3, 7, 20)]
+
+    def pool(t):
+        e, out = net.table[t[:, 0]] + net.table[t[:, 1]], []
+        for w, f, bias in zip(toxicity.WIDTHS, net.filters, net.bias):
+            seen = [bias + sum(e[i + j] @ f[j] for j in range(w)) for i in range(len(e) - w + 1)]
+            out.append(np.maximum(np.max(seen, axis=0), 0) if seen else np.zeros(toxicity.FILTERS))
+        return np.concatenate(out)
+
+    first = np.append(0, np.cumsum([0, *map(len, texts)]))
+    assert np.allclose(net.pooled(np.concatenate(texts), first), [np.zeros(24), *map(pool, texts)], atol=1e-4)
+    y, weight = np.array([0, 1, 1, 0, 1]), np.array([1.0, 2, 1, 1, 3])
+
+    def loss():
+        z = np.array([pool(t) @ net.out + net.out_bias[0] for t in texts])
+        return float(np.mean(weight * (np.log1p(np.exp(z)) - y * z)))
+
+    g = toxicity.gradients(net, texts, y, weight)
+    for name, w in [("out", net.out), ("out_bias", net.out_bias), *((f"f{k}", net.filters[k]) for k in range(3)), *((f"b{k}", net.bias[k]) for k in range(3)), ("table", net.table)]:
+        for _ in range(8):
+            at = tuple(rng.integers(0, n) for n in w.shape)
+            if name == "table":
+                row = rng.integers(0, len(g["rows"]))
+                at, found = (g["rows"][row], at[1]), g["table"][row, at[1]]
+            else:
+                found = g[name][at]
+            kept = w[at]
+            w[at] = kept + 1e-5
+            up = loss()
+            w[at] = kept - 1e-5
+            down = loss()
+            w[at] = kept
+            assert abs((up - down) / 2e-5 - found) < 1e-4
+
+
+def test_toxicity_on_odd_rows(spark):
+    d = spark.createDataFrame(odd_rows(random.Random(25)) + [(10 + i, "you awful fool" if i % 2 else "a kind word", "en", i % 2, "x") for i in range(40)], ODD)
+    labels = spark.createDataFrame([(10 + i, i % 2) for i in range(40)] + [(1, 0), (4, 0), (4, 1), (None, 1), (5, None)], "doc_id long, toxic int")
+    for given in (labels, labels.filter("toxic = 0"), labels.limit(0)):
+        got = toxicity.classify(d, toxicity.fit(d, given)).collect()
+        assert len(got) == 47 and not any(r["toxic"] for r in got if r["doc_id"] in (1, 2, 3))
+        assert given is labels or not any(r["toxic"] for r in got)
+        assert len({(r["score"], r["toxic"]) for r in got if (r["doc_id"] or 0) >= 10}) <= 2  # equal texts score equally
+    assert toxicity.classify(d.limit(0), toxicity.fit(d.limit(0), labels)).count() == 0
+
+
 # --- 9 decontamination
 
 
@@ -336,7 +581,18 @@ def test_whole_and_edited_items_are_found(spark):
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs(spark, rows), bench).collect()}
     assert got == {(10 * i + k, i) for i in items for k in (0, 1)} | {(None, 0)}
     assert decontaminate.leaks(docs(spark, rows), bench.limit(0)).count() == 0
-    assert decontaminate.clean(docs(spark, rows), bench).count() == len(rows) - 24
+    assert decontaminate.clean(docs(spark, rows), bench).count() == len(rows) - 25
+
+
+def test_clean_judges_rows_not_ids(spark):
+    rng = random.Random(18)
+    item = prose(rng, 30, 3000)
+    rows = [(1, item, "a"), (1, "other text", "b"), (None, item, "c"), (None, None, "d"), (2, item, "e"), (2, item, "f"), (3, "", "g"), (4, prose(rng, 60_000, 3000) + " " + item, "h")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, sig string")
+    bench = spark.createDataFrame([(5, item), (5, item)], "item_id long, text string")
+    assert sorted(r["sig"] for r in decontaminate.clean(d, bench).collect()) == ["b", "d", "g"]
+    assert sorted((r["doc_id"] or 0, r["item_id"]) for r in decontaminate.leaks(d, bench).collect()) == [(0, 5), (1, 5), (2, 5), (4, 5)]
+    assert decontaminate.clean(d.limit(0), bench).count() == 0 and decontaminate.clean(d, bench.limit(0)).count() == len(rows)
 
 
 # --- 10 WARC
@@ -358,6 +614,36 @@ def test_archives_round_trip_and_resolve(spark, tmp_path):
     assert warc.write(df.limit(0), f"file://{tmp_path}/none").count() == 0
 
 
+def test_resolving_pages(spark):
+    rng = random.Random(26)
+    rows = [(i, f"http://x/{i}", rng.choice(["<p>a</p>", f"<p>{i}</p>", None, ""]), "x", 1) for i in range(60)] + [(60, None, "y" * 300_000, "x", 1), (None, "http://n", "z", "x", 1), (3, "http://x/3", "<p>a</p>", "x", 1)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, digest string, offset int")
+    want = []
+    made = [(*c[:4], hashlib.sha1(warc.split_http(c[5])[1]).hexdigest() if c[1] == "response" else c[4]) for i, u, h, *_ in rows if i is not None for c in warc.captures(i, u, h)]
+    first = {}
+    for c in sorted((c for c in made if c[1] == "response"), key=lambda c: (c[3], c[0])):
+        first.setdefault(c[4], c[0])
+    seen = set()
+    for key, kind, url, date, digest in made:
+        to = first.get(digest)
+        itself = kind == "response" and to == key and key not in seen
+        seen |= {key} if itself else set()
+        want.append((key, "revisit" if to and not itself else kind, url, date, digest, None if itself or not to else to))
+    got = [(r["record_id"], r["type"], r["url"], r["date"], r["digest"], r["refers_to"]) for r in warc.resolve_pages(pages).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert warc.resolve_pages(pages.limit(0)).count() == 0
+
+
+def test_substrings_of_odd_tables(spark):
+    rng = random.Random(27)
+    long = prose(rng, 30_000, 10**6)
+    rows = [(2, long, "a", 1), (5, "start " + " ".join(long.split()[100:400]) + " end", "b", 2), (5, "start " + " ".join(long.split()[100:400]) + " end", "c", 2), (7, None, "d", 3)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, sig string, spans int")
+    got = sorted((r["doc_id"], r["text"], r["removed_words"]) for r in substring_dedup.deduplicated(d).collect() if r["text"])
+    assert got == [(2, long, 0), (5, "start end", 300), (5, "start end", 300)]
+    assert substring_dedup.deduplicated(d.limit(0)).count() == 0
+
+
 def test_plain_archives_and_damage():
     one = warc.record([("WARC-Type", "response")], b"x" * 3000)
     assert [(a, n) for a, n, _ in warc.members(io.BytesIO(one * 3))] == [(k * len(one), len(one)) for k in range(3)]
