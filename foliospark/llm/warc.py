@@ -35,6 +35,7 @@ LEVEL = 3
 RANGE_BYTES = 8_000_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _READ = 1 << 20
+_STEP = 1 << 12
 _INDEX = "file string, offset long, length long, record_id string, type string, url string, date string, digest string, block_length long"
 _RESULT = _INDEX + ", fresh_id string, refers_to string"
 _EMPTY = hashlib.sha1(b"").hexdigest()
@@ -96,52 +97,47 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
 
 def members(source) -> Iterator[tuple[int, int, bytes]]:
     """Offset, length and bytes of each record of an open archive of gzip members, or of plain records."""
-    at, held, ended = 0, b"", False
+    at, held, pos = 0, b"", 0
 
     def more() -> bool:
-        nonlocal held, ended
+        """Read on behind what isn't used yet."""
+        nonlocal held, pos
         got = source.read(_READ)
-        ended = not got
-        held += got
-        return not ended
-
-    while more() or held:
-        while held:
-            if held[:2] == b"\x1f\x8b":
-                todo, parts, used, piece = zlib.decompressobj(31), [], 0, held
-                while True:
-                    try:
-                        parts.append(todo.decompress(piece))
-                    except zlib.error as e:
-                        raise ValueError(f"damaged archive at {at}") from e
-                    if todo.eof:
-                        used += len(piece) - len(todo.unused_data)
-                        break
-                    used += len(piece)
-                    piece = source.read(_READ)
-                    if not piece:
-                        raise ValueError(f"the archive is cut off at {at}")
-                held = todo.unused_data
-                yield at, used, b"".join(parts)
-                at += used
-            else:
-                while b"\r\n\r\n" not in held and more():
-                    pass
-                head = held.find(b"\r\n\r\n")
-                if head < 0 or not held.startswith(b"WARC/"):
-                    raise ValueError(f"damaged archive at {at}")
-                sizes = [x.split(b":")[1] for x in held[:head].split(b"\r\n") if x.lower().startswith(b"content-length:")]
-                if not sizes:
-                    raise ValueError(f"damaged archive at {at}")
-                end = head + 4 + int(sizes[0]) + 4
-                while len(held) < end and more():
-                    pass
-                if len(held) < end:
+        held, pos = held[pos:] + got, 0
+        return bool(got)
+
+    while pos < len(held) or more():
+        if len(held) - pos < 2:
+            more()
+        if held[pos : pos + 2] == b"\x1f\x8b":
+            todo, parts, used = zlib.decompressobj(31), [], 0
+            while not todo.eof:
+                if pos == len(held) and not more():
                     raise ValueError(f"the archive is cut off at {at}")
-                yield at, end, held[:end]
-                held, at = held[end:], at + end
-        if ended:
-            return
+                piece = held[pos : pos + _STEP]  # what is left over of a piece is copied: small ones cost less
+                try:
+                    parts.append(todo.decompress(piece))
+                except zlib.error as e:
+                    raise ValueError(f"damaged archive at {at}") from e
+                n = len(piece) - len(todo.unused_data)
+                pos, used = pos + n, used + n
+            yield at, used, b"".join(parts)
+            at += used
+            continue
+        while (head := held.find(b"\r\n\r\n", pos)) < 0 and more():
+            pass
+        if head < 0 or not held.startswith(b"WARC/", pos):
+            raise ValueError(f"damaged archive at {at}")
+        sizes = [x.split(b":")[1] for x in held[pos:head].split(b"\r\n") if x.lower().startswith(b"content-length:")]
+        if not sizes:
+            raise ValueError(f"damaged archive at {at}")
+        size = head - pos + 4 + int(sizes[0]) + 4
+        while len(held) - pos < size and more():
+            pass
+        if len(held) - pos < size:
+            raise ValueError(f"the archive is cut off at {at}")
+        yield at, size, held[pos : pos + size]
+        pos, at = pos + size, at + size
 
 
 def _entry(file: str, offset: int, length: int, raw: bytes) -> tuple:
