@@ -1,29 +1,35 @@
-"""Column expressions of the text operators: token estimates, language, masks, table lines.
+"""Column expressions over texts: token estimates, language, scripts, flags of bad extraction, masks.
 
 All are built-in expressions, so they stay in generated code.  Null text gives null unless said otherwise.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: characters that count one and a half tokens, as Java escapes
 WIDE = "[\\x{2E80}-\\x{9FFF}\\x{F900}-\\x{FAFF}\\x{FE30}-\\x{FE4F}\\x{AC00}-\\x{D7AF}\\x{20000}-\\x{2FA1F}]"
 LOADER_WIDE = "[\\x{4E00}-\\x{9FFF}\\x{3040}-\\x{30FF}\\x{AC00}-\\x{D7AF}]"
-EMAIL = "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}"
-URL = "https?://[^\\s<>\"]+"
-CARD = "[0-9]{13,19}"
-IPV4 = "[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}"
+#: white space of any alphabet, as Python's strip and split see it
+SPACE = "(?U)[\\s\\x1C-\\x1F]"
+
+
+def of_class(text: Column, pattern: str) -> Column:
+    """Characters of a class (a pattern that matches one character)."""
+    return F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
 
 
-def _count(text: Column, pattern: str) -> Column:
-    return F.regexp_count(text, F.lit(pattern))
+def stripped(text: Column) -> Column:
+    """Without white space, of any alphabet, at both ends."""
+    return F.regexp_replace(text, f"{SPACE}+$|^{SPACE[4:]}+", "")
 
 
 def _weighted(text: Column, wide: str) -> Column:
-    n = _count(text, wide)
-    return (n * F.lit(1.5) + (F.length(text) - n) * F.lit(0.25)).cast("int")
+    n = F.length(F.regexp_replace(text, wide, ""))  # what isn't wide
+    return ((F.length(text) - n) * F.lit(1.5) + n * F.lit(0.25)).cast("int")
 
 
 def estimate_tokens(text: Column) -> Column:
@@ -37,43 +43,172 @@ def loader_tokens(text: Column) -> Column:
 
 
 def detect_language(text: Column, sample: int = 2000) -> Column:
-    """ja, ko, zh, en or unknown, by shares of scripts in the first ``sample`` characters."""
-    head = F.substring(text, 1, sample)
-    n = F.greatest(F.length(head), F.lit(1))
-    share = lambda p: _count(head, p) / n
+    """ja, ko, zh, en or unknown, by shares of scripts among what isn't white space in the first ``sample`` characters."""
+    ink = F.regexp_replace(F.substring(text, 1, sample), f"{SPACE}+", "")
+    share = lambda p: of_class(ink, p) / F.length(ink)
     return (
-        F.when(share("[\\x{3040}-\\x{30FF}]") > 0.05, "ja").when(share("[\\x{AC00}-\\x{D7AF}]") > 0.05, "ko")
-        .when(share("[\\x{4E00}-\\x{9FFF}]") > 0.10, "zh").when(share("[A-z]") > 0.5, "en").otherwise("unknown")
+        F.when(text.isNull(), None).when(F.length(ink) == 0, "unknown").when(share("[\\x{3040}-\\x{30FF}\\x{31F0}-\\x{31FF}]") > 0.05, "ja")
+        .when(share("[\\x{AC00}-\\x{D7AF}]") > 0.05, "ko").when(share("[\\x{4E00}-\\x{9FFF}]") > 0.10, "zh").when(share("[A-z]") > 0.5, "en").otherwise("unknown")
     )
 
 
-def sanitized(text: Column) -> Column:
-    """Text with e-mail addresses, URLs, card numbers (that pass Luhn's test) and IPv4 addresses masked, in this
-    order, each rule on what the rule before left."""
-    t = F.regexp_replace(F.regexp_replace(text, EMAIL, "[EMAIL]"), URL, "[URL]")
-    cards = F.filter(F.array_distinct(F.regexp_extract_all(t, F.lit(CARD), F.lit(0))), lambda d: F.call_function("luhn_check", d))
-    t = F.aggregate(F.array_sort(cards, lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0)), t, lambda acc, d: F.replace(acc, d, F.lit("[CARD]")))
-    return F.regexp_replace(t, IPV4, "[IP]")
+# --- scripts ---------------------------------------------------------------------------------------------------
+
+#: bounds of code points by script; what is in none is Other, what all languages use is Common
+SCRIPTS: dict[str, list[tuple[int, int]]] = {
+    "Common": [(0, 0x40), (0x5B, 0x60), (0x7B, 0x7E), (0xA0, 0xBF), (0x2000, 0x20CF), (0x2100, 0x22FF), (0x2500, 0x257F), (0x25A0, 0x27BF), (0x3000, 0x303F), (0xFF00, 0xFFFF)],
+    "Latin": [(0x41, 0x5A), (0x61, 0x7A), (0xC0, 0x24F), (0x1E00, 0x1EFF)],
+    "Greek": [(0x370, 0x3FF)], "Cyrillic": [(0x400, 0x52F)], "Hebrew": [(0x590, 0x5FF)], "Arabic": [(0x600, 0x6FF), (0x750, 0x77F)],
+    "Devanagari": [(0x900, 0x97F)], "Bengali": [(0x980, 0x9FF)], "Gurmukhi": [(0xA00, 0xA7F)], "Gujarati": [(0xA80, 0xAFF)], "Oriya": [(0xB00, 0xB7F)],
+    "Tamil": [(0xB80, 0xBFF)], "Telugu": [(0xC00, 0xC7F)], "Kannada": [(0xC80, 0xCFF)], "Malayalam": [(0xD00, 0xD7F)], "Sinhala": [(0xD80, 0xDFF)],
+    "Thai": [(0xE00, 0xE7F)], "Lao": [(0xE80, 0xEFF)], "Tibetan": [(0xF00, 0xFFF)], "Myanmar": [(0x1000, 0x109F)], "Khmer": [(0x1780, 0x17FF)],
+    "Han": [(0x2E80, 0x2FDF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x2A6DF), (0x2A700, 0x2B81F)],
+    "Hiragana": [(0x3040, 0x309F)], "Katakana": [(0x30A0, 0x30FF), (0x31F0, 0x31FF)], "Hangul": [(0x1100, 0x11FF), (0x3130, 0x318F), (0xAC00, 0xD7AF)],
+}
+EXPECTED = {"ja": ("Latin", "Han", "Hiragana", "Katakana"), "zh": ("Latin", "Han", "Hiragana", "Katakana"), "ko": ("Latin", "Han", "Hangul"), "en": ("Latin",)}
+
+
+def script_class(names: Iterable[str], negate: bool = False) -> str:
+    """A regular expression for one character of the scripts (or, negated, of none of them)."""
+    return ("[^" if negate else "[") + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for n in names for a, b in SCRIPTS[n]) + "]"
+
+
+def script_of(character: Column) -> Column:
+    """The script of a text of one character."""
+    return F.coalesce(*[F.when(character.rlike(f"^{script_class([n])}"), n) for n in SCRIPTS], F.lit("Other"))
+
+
+def script_counts(text: Column) -> Column:
+    """Characters by script, those without any left out, as a map; Other is what no script has."""
+    counts = [F.struct(F.lit(n).alias("key"), of_class(text, script_class([n])).alias("value")) for n in SCRIPTS]
+    other = F.struct(F.lit("Other").alias("key"), of_class(text, script_class(SCRIPTS, True)).alias("value"))
+    return F.map_from_entries(F.filter(F.array(*counts, other), lambda x: x["value"] > 0))
+
+
+def unexpected_ratio(text: Column, scripts: Iterable[str]) -> Column:
+    """Share of characters of other scripts; what is common to all languages never counts.  Empty texts have 0."""
+    return F.when(F.length(text) > 0, of_class(text, script_class(["Common", *scripts], True)) / F.length(text)).otherwise(F.when(text.isNotNull(), 0.0))
+
+
+def unexpected_scripts(text: Column, language: Column, most: float = 0.05, least: int = 50, expected: dict[str, tuple[str, ...]] = EXPECTED) -> Column:
+    """Whether more than ``most`` of a text of ``least`` characters or more is in scripts that its language doesn't
+    use (of an unknown language: that none of the languages uses)."""
+    every = sorted({s for names in expected.values() for s in names})
+    ratio = F.coalesce(*[F.when(language == k, unexpected_ratio(text, v)) for k, v in expected.items()], unexpected_ratio(text, every))
+    return (F.length(text) >= least) & (ratio > most)
+
+
+# --- signs of bad extraction -----------------------------------------------------------------------------------
+
+_CJK = script_class(["Hiragana"])[:-1] + "\\x{30A0}-\\x{30FF}\\x{4E00}-\\x{9FFF}]"
+
+
+def garble_marks(text: Column) -> Column:
+    return sum(((F.length(text) - F.length(F.replace(text, F.lit(m)))) / len(m)).cast("int") for m in ("glyph<", "glyph&lt;"))
+
+
+def garbled(text: Column, least: int = 10) -> Column:
+    """Whether marks of unmapped glyphs occur ``least`` times or more."""
+    return garble_marks(text) >= least
+
+
+def mixed_scripts(text: Column, most: int = 3) -> Column:
+    """Whether more than ``most`` scraps of up to three Latin letters stand between CJK characters."""
+    return F.regexp_count(text, F.lit(f"{_CJK}[A-Za-z]{{1,3}}{_CJK}")) > most
+
+
+def nothing_added(text: Column) -> Column:
+    """Whether a describer said that a page holds nothing more."""
+    return F.lower(F.regexp_replace(stripped(text), "^[.。]+|[.。]+$", "")).isin("(no additional visual content)", "no additional visual content")
+
+
+def table_lines(text: Column) -> Column:
+    return F.size(F.filter(F.split(text, "\n"), lambda x: x.rlike("(?U)^[\\s\\x1C-\\x1F]*\\|")))
+
+
+def plain_page(text: Column, pictures: Column, structured: Column, language: Column, least: int = 50, replaced_most: float = 0.05, table_least: int = 30, mixed_most: int = 8) -> Column:
+    """Whether a page can go without a describer: no picture, no structured data, text enough, and no sign of bad
+    extraction.  Any doubt means it can't."""
+    t = stripped(text)
+    replaced = (F.length(t) - F.length(F.replace(t, F.lit("�")))) / F.length(t)
+    doubts = [
+        text.contains("<!-- image -->"), F.coalesce(pictures, F.lit(0)) > 0, F.length(F.coalesce(structured, F.lit(""))) > 0, F.length(t) < least,
+        garble_marks(text) > 0, t.rlike("&[lg]t;"), replaced > replaced_most, table_lines(t) >= table_least, mixed_scripts(t, mixed_most),
+        unexpected_scripts(t, language),
+    ]
+    some = doubts[0]
+    for d in doubts[1:]:
+        some = some | F.coalesce(d, F.lit(False))
+    return ~F.coalesce(some, F.lit(True))
+
+
+# --- personal data ---------------------------------------------------------------------------------------------
+
+_OCTET = "(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
+_GROUP = "\\d{4}[\\s-]?"
+#: rule, pattern and mask, in the order of their use; the cards must also pass Luhn's test
+RULES: dict[str, tuple[str, str]] = {
+    "email": ("[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}", "[EMAIL]"),
+    "url": ("(?U)https?://[A-Za-z0-9.-]+(?::\\d+)?(?:/\\S*)?", "[URL]"),
+    "credit_card": (f"(?U)\\b{_GROUP * 3}\\d{{1,7}}\\b", "[CREDIT_CARD]"),
+    "ipv4": (f"(?U)\\b(?:{_OCTET}\\.){{3}}{_OCTET}\\b", "[IP_ADDRESS]"),
+    "phone_jp": ("(?U)\\b0\\d{1,4}[-\\s()]{1,2}\\d{1,4}[-\\s]\\d{3,4}\\b", "[PHONE]"),
+}
+_FULL_DIGITS = "".join(chr(0xFF10 + i) for i in range(10))
+
+
+def luhn(number: Column) -> Column:
+    """Luhn's test of thirteen digits or more; spaces and dashes between them don't count."""
+    digits = F.translate(F.regexp_replace(number, "(?U)[\\s-]", ""), _FULL_DIGITS, "0123456789")
+    return (F.length(digits) >= 13) & F.coalesce(F.call_function("luhn_check", digits), F.lit(False))
+
+
+def _found(text: Column, rule: str) -> Column:
+    return F.regexp_extract_all(text, F.lit(RULES[rule][0]), F.lit(0))
+
+
+def _masked(text: Column, rule: str) -> Column:
+    pattern, mask = RULES[rule]
+    if rule != "credit_card":
+        return F.regexp_replace(text, pattern, mask.replace("$", "\\$"))
+    # match by match: what stands between the matches, and each match as it is or masked
+    new = F.transform(_found(text, rule), lambda m: F.when(luhn(m), mask).otherwise(m))
+    return F.array_join(F.zip_with(F.split(text, pattern), new, lambda gap, m: F.concat(gap, F.coalesce(m, F.lit("")))), "")
+
+
+def sanitized(text: Column, rules: Iterable[str] = tuple(RULES)) -> Column:
+    """Text with e-mail addresses, URLs, cards, IPv4 addresses and Japanese phone numbers masked, in this order, each
+    rule on what the rule before left."""
+    for rule in rules:
+        text = _masked(text, rule)
+    return text
+
 
+def pii_counts(text: Column, rules: Iterable[str] = tuple(RULES)) -> dict[str, Column]:
+    """How often each rule masks, in the same order."""
+    out = {}
+    for rule in rules:
+        found = _found(text, rule)
+        out[rule] = F.size(F.filter(found, luhn) if rule == "credit_card" else found)
+        text = _masked(text, rule)
+    return out
 
-def pii_counts(text: Column) -> dict[str, Column]:
-    return {"emails": _count(text, EMAIL), "urls": _count(text, URL), "cards": F.size(F.filter(F.regexp_extract_all(text, F.lit(CARD), F.lit(0)), lambda d: F.call_function("luhn_check", d))), "addresses": _count(text, IPV4)}
 
+# --- keywords --------------------------------------------------------------------------------------------------
 
-def slug(keyword: Column) -> Column:
-    """Tag form of a keyword; null for digits and for what has under two characters."""
-    s = F.regexp_replace(F.regexp_replace(keyword, "[\\s,;]+", "_"), "^_+|_+$", "")
-    return F.when((F.length(s) >= 2) & ~s.rlike("^[0-9]+$"), s)
+STOP = ("group", "list", "slide")
+_RUN = "[\\x{3040}-\\x{30FF}\\x{4E00}-\\x{9FFF}\\x{AC00}-\\x{D7AF}]{2,}"
+_PARTICLES = ("^[のはをがにでとも]+", "に関する$", "について$", "における$", "および$")
 
 
-def clock(seconds: Column) -> Column:
-    """MM:SS, or H:MM:SS from an hour on."""
-    h, m, s = F.floor(seconds / 3600), F.floor(seconds % 3600 / 60), seconds % 60
-    return F.when(h > 0, F.format_string("%d:%02d:%02d", h, m, s)).otherwise(F.format_string("%02d:%02d", m, s))
+def keywords_in(text: Column, latin_least: int = 3, run_least: int = 3, core_least: int = 2) -> Column:
+    """Latin words, then CJK runs with their particles stripped (or whole, if that leaves too little)."""
+    words = F.filter(F.regexp_extract_all(text, F.lit("[A-Za-z][A-Za-z0-9]+"), F.lit(0)), lambda w: (F.length(w) >= latin_least) & ~w.isin(*STOP))
 
+    def core(run: Column) -> Column:
+        for p in _PARTICLES:
+            run = F.regexp_replace(run, p, "")
+        return run
 
-def denoised_row(line: Column) -> Column:
-    """A table row whose cells repeat (more than two cells, at most half distinct) with repeats left out."""
-    cells = F.transform(F.split(F.regexp_replace(line, "^\\s*\\||\\|\\s*$", ""), "\\|"), lambda c: F.trim(c))
-    kept = F.array_distinct(cells)
-    return F.when((F.size(cells) > 2) & (F.size(kept) * 2 <= F.size(cells)), F.concat(F.lit("| "), F.array_join(kept, " | "), F.lit(" |"))).otherwise(line)
+    runs = F.transform(F.regexp_extract_all(text, F.lit(_RUN), F.lit(0)), lambda r: F.when((F.length(core(r)) >= core_least) & ~core(r).isin(*STOP), core(r)).when(F.length(r) >= run_least, r))
+    return F.concat(words, F.array_compact(runs))

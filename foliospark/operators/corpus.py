@@ -1,4 +1,4 @@
-"""Corpus tables: quality, safety, cost, usage, keywords, repeated lines, incremental state, vectors, entities.
+"""Corpus tables: quality, usage, versions, vectors.
 
 All are joins, aggregates and windows on keys that spread with the data; nothing is collected.  Null keys form a group
 of their own in aggregates and match nothing in joins.
@@ -14,29 +14,25 @@ from pyspark.sql import functions as F
 from foliospark.functions import text as X
 
 
-def quality_report(docs: DataFrame) -> DataFrame:
-    """Per source: files, unsure and unreadable marks, and a score from 1 down to 0."""
-    q, u = F.regexp_count("text", F.lit("\\[\\?\\]")), F.regexp_count("text", F.lit("(?i)\\[unreadable\\b[^\\]]*\\]"))
-    agg = docs.groupBy("source").agg(F.count("*").alias("files"), F.coalesce(F.sum(q), F.lit(0)).alias("unsure"), F.coalesce(F.sum(u), F.lit(0)).alias("unreadable"))
-    return agg.withColumn("score", F.round(F.greatest(F.lit(0.0), 1 - (F.col("unsure") + 2 * F.col("unreadable")) / F.col("files") / 20), 3))
+_UNSURE, _UNREADABLE = "\\[\\?\\]", "(?i)\\[unreadable\\b[^\\]]*\\]"
 
 
-def safety_violations(docs: DataFrame, chars: int = 500_000, page_chars: int = 2000, pages: int = 100) -> DataFrame:
-    """A row per exceeded limit of a document (characters, pages of ``page_chars``)."""
-    n = docs.select("doc_id", F.length("text").cast("long").alias("n_chars"))
-    kinds = F.array(
-        F.struct(F.lit("chars").alias("kind"), F.col("n_chars").alias("found"), F.lit(chars).cast("long").alias("allowed")),
-        F.struct(F.lit("pages").alias("kind"), F.ceil(F.col("n_chars") / page_chars).cast("long").alias("found"), F.lit(pages).cast("long").alias("allowed")),
-    )
-    return n.select("doc_id", F.inline(kinds)).filter("found > allowed")
+def marks(docs: DataFrame) -> DataFrame:
+    """doc_id, unsure and unreadable marks, and the first five lines that hold some (number and 200 characters), of each
+    document with any."""
+    n = lambda p: F.regexp_count("text", F.lit(p))
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct((i + 1).alias("line"), F.substring(X.stripped(x), 1, 200).alias("text"), x.rlike(f"{_UNSURE}|{_UNREADABLE}").alias("hit")))
+    samples = F.transform(F.slice(F.filter(lines, lambda x: x["hit"]), 1, 5), lambda x: F.struct(x["line"], x["text"]))
+    found = docs.select("doc_id", n(_UNSURE).alias("unsure"), n(_UNREADABLE).alias("unreadable"), samples.alias("samples"))
+    return found.filter("unsure + unreadable > 0")
 
 
-def refine_cost(docs: DataFrame, target: int = 8000, most: int = 50_000, price: float = 0.002) -> DataFrame:
-    """Per source: tokens, calls (pieces of ``target`` tokens for what exceeds ``most``) and their price."""
-    n = X.estimate_tokens(F.col("text"))
-    calls = F.when(n > most, F.ceil(n / target)).otherwise(1)
-    agg = docs.filter("text is not null").groupBy("source").agg(F.sum(n).cast("long").alias("tokens"), F.sum(calls).cast("long").alias("calls"))
-    return agg.withColumn("cost", F.round(F.col("calls") * price, 4))
+def quality_report(docs: DataFrame) -> DataFrame:
+    """Per source: files, those with marks of doubt, the marks, and a score from 1 down to 0."""
+    q, u = F.regexp_count("text", F.lit(_UNSURE)), F.regexp_count("text", F.lit(_UNREADABLE))
+    zero = F.lit(0)
+    agg = docs.groupBy("source").agg(F.count("*").alias("files"), F.count_if((q > 0) | (u > 0)).alias("with_issues"), F.coalesce(F.sum(q), zero).alias("unsure"), F.coalesce(F.sum(u), zero).alias("unreadable"))
+    return agg.withColumn("score", F.bround(F.greatest(F.lit(0.0), 1 - (F.col("unsure") + 2 * F.col("unreadable")) / F.col("files") / 20), 3))
 
 
 def usage_rollup(calls: DataFrame) -> DataFrame:
@@ -44,42 +40,6 @@ def usage_rollup(calls: DataFrame) -> DataFrame:
     return calls.rollup("model").agg(F.count("*").alias("calls"), F.sum("tokens").cast("long").alias("tokens"), (F.grouping("model") == 1).alias("total"))
 
 
-def text_words(docs: DataFrame) -> DataFrame:
-    """source, doc_id, pos, keyword: Latin words of three or more characters in all lines of each document."""
-    words = F.regexp_extract_all("text", F.lit("[A-Za-z][A-Za-z0-9]+"), F.lit(0))
-    kept = F.filter(words, lambda w: (F.length(w) >= 3) & ~F.lower(w).isin("group", "list", "slide"))
-    return docs.select("source", "doc_id", F.posexplode(kept).alias("pos", "keyword"))
-
-
-def keyword_counts(docs: DataFrame) -> DataFrame:
-    """All keywords of each source with their counts and first places."""
-    return text_words(docs).groupBy("source", "keyword").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "pos")).alias("first"))
-
-
-def keywords(docs: DataFrame, most: int = 15) -> DataFrame:
-    """The ``most`` frequent keywords of each source (a top-k report); ties by first place."""
-    w = Window.partitionBy("source").orderBy(F.desc("times"), "first", "keyword")
-    return keyword_counts(docs).withColumn("place", F.row_number().over(w)).filter(F.col("place") <= most).select("source", "keyword", "times", "place")
-
-
-def keyword_index(found: DataFrame, share: float = 0.7, most: int = 50) -> DataFrame:
-    """Inverted index of the sources' keywords (``keyword_counts``, all of them): those of at most ``share`` of three or
-    more sources, the ``most`` of greatest document frequency."""
-    df = found.groupBy("keyword").agg(F.count("*").alias("df"), F.array_sort(F.collect_list("source")).alias("sources"))
-    n = found.agg(F.countDistinct("source").alias("n"))
-    fit = df.crossJoin(F.broadcast(n)).filter((F.col("n") < 3) | (F.col("df") <= F.greatest(F.lit(1), F.floor(F.col("n") * share))))  # one row
-    return fit.orderBy(F.desc("df"), "keyword").limit(most).select("keyword", "df", F.array_join("sources", ",").alias("sources"))
-
-
-def strip_repeating(docs: DataFrame, least: int = 3, longest: int = 120) -> DataFrame:
-    """Lines by source that stand in ``least`` or more of its documents (up to ``longest`` characters), with the
-    document that keeps each.  White space doesn't count."""
-    lines = docs.select("source", "doc_id", F.explode(F.split("text", "\n")).alias("line")).withColumn("key", F.regexp_replace("line", "\\s+", ""))
-    lines = lines.filter((F.col("key") != "") & (F.length("line") <= longest))
-    per = lines.groupBy("source", "key").agg(F.countDistinct("doc_id").alias("docs"), F.min("doc_id").alias("kept_by"), F.count("*").alias("times"))
-    return per.filter(F.col("docs") >= least)
-
-
 def state_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     """Ids of two versions with what is to be done: cached, modified, new or deleted."""
     a = before.select("doc_id", F.md5("text").alias("old"))
@@ -134,11 +94,3 @@ def vector_topk(vectors: DataFrame, probes: DataFrame, k: int = 10, block: int =
     scored = p.groupBy("p", "v").cogroup(v.groupBy("p", "v")).applyInArrow(_nearest(k), "probe_id long, vec_id long, similarity double")
     w = Window.partitionBy("probe_id").orderBy(F.desc("similarity"), "vec_id")
     return scored.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
-
-
-def entity_topn(mentions: DataFrame, most: int = 5) -> DataFrame:
-    """Entities of each chunk (a top-n report): exclusive ones first, then shorter names, then names in order."""
-    spread = mentions.groupBy("entity").agg(F.countDistinct("chunk_id").alias("chunks"))
-    held = mentions.select("chunk_id", "entity").distinct().join(spread, "entity")
-    w = Window.partitionBy("chunk_id").orderBy("chunks", F.length("entity"), "entity")
-    return held.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= most).select("chunk_id", "entity", "chunks", "place")

@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from foliospark.plans import queries as plans
+from foliospark.plans import structured
 from foliospark.plans.queries import Query
 
 
 def queries() -> dict[str, Query]:
-    return dict(plans.QUERIES)
+    return dict(structured.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(plans.SQL)
+    return dict(structured.SQL)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from foliospark.operators import chunking
 
@@ -19,10 +18,11 @@ def content_key(docs: DataFrame) -> DataFrame:
 
 
 def _state(spark: SparkSession, path: str, batch: int) -> DataFrame:
-    try:
-        return spark.read.parquet(path).filter(F.col("batch") != batch).select("content_key")
-    except AnalysisException:  # nothing was written yet
+    """Keys of all batches but this one.  A folder that isn't there yet is an empty state; a damaged one raises."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
         return spark.createDataFrame([], "content_key string")
+    return spark.read.schema("content_key string, batch long").parquet(path).filter(F.col("batch") != batch).select("content_key")
 
 
 def ingest(spark: SparkSession, source: str, schema: str, out: str, checkpoint: str) -> None:
