@@ -1,13 +1,28 @@
-"""Command line: python -m foliospark ingest|inspect|list|summary|export …"""
+"""Command line: python -m foliospark ingest|inspect|list|summary|export|doctor …"""
 
 from __future__ import annotations
 
 import argparse
+import importlib.metadata
 import json
+import os
+import shutil
+import sys
 
 from pyspark.sql import SparkSession
 
-from foliospark import engine
+from foliospark import engine, settings
+
+
+def doctor() -> dict[str, dict[str, str | None]]:
+    """Versions of what is needed, and where the optional tools are."""
+    found: dict[str, str | None] = {}
+    for name in ("pyspark", "pyarrow", "numpy", "pandas"):
+        try:
+            found[name] = importlib.metadata.version(name)
+        except importlib.metadata.PackageNotFoundError:
+            found[name] = None
+    return {"python": {"version": ".".join(map(str, sys.version_info[:3]))}, "packages": found, "tools": {t: shutil.which(t) for t in ("java", "soffice", "ffmpeg", "exiftool")}}
 
 
 def main(arguments: list[str] | None = None) -> int:
@@ -22,14 +37,18 @@ def main(arguments: list[str] | None = None) -> int:
     todo.add_parser("inspect", help="what is known of files before any work").add_argument("paths", nargs="+")
     todo.add_parser("list", help="collections below a folder").add_argument("root")
     todo.add_parser("summary", help="totals of a collection").add_argument("folder")
+    todo.add_parser("doctor", help="what this machine has")
     export = todo.add_parser("export", help="write Markdown, chunk records and a guide")
     export.add_argument("folder")
     export.add_argument("--to", required=True)
     given = parser.parse_args(arguments)
+    if given.command == "doctor":
+        print(json.dumps(doctor(), indent=1))
+        return 0
     spark = SparkSession.builder.appName("foliospark").getOrCreate()
     if given.command == "ingest":
         try:
-            made = engine.ingest(spark, given.paths, given.out, given.settings, given.acknowledge_large, given.force)
+            made = engine.ingest(spark, given.paths, given.out, settings.load({}, None, os.environ, given.settings), given.acknowledge_large, given.force)
         except engine.BudgetExceeded as e:
             print(f"refused: {e}")
             return 2

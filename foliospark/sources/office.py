@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from foliospark.operators.chunking import PAGE_BREAK
+from foliospark.sources import equations
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -58,7 +59,11 @@ def relations(z: zipfile.ZipFile, part: str) -> dict[str, str]:
 
 
 def _paragraph(p: ET.Element) -> str:
-    return "".join((n.text or "") if n.tag == f"{_W}t" else "\t" if n.tag == f"{_W}tab" else "\n" if n.tag == f"{_W}br" else "" for n in p.iter())
+    """Text of a paragraph, its equations as LaTeX."""
+    if p.tag in (f"{equations.M}oMath", f"{equations.M}oMathPara"):
+        return equations.inline(p)
+    own = (p.text or "") if p.tag == f"{_W}t" else "\t" if p.tag == f"{_W}tab" else "\n" if p.tag == f"{_W}br" else ""
+    return own + "".join(map(_paragraph, p))
 
 
 def docx(content: bytes) -> str:
@@ -173,6 +178,24 @@ def drawings(content: bytes) -> dict[str, int]:
         return found
 
 
+def sheet_images(content: bytes) -> list[tuple[str, int, int, str, bytes]]:
+    """Sheet, row and column (from 1), name and bytes of every picture that stands in a visible sheet."""
+    out = []
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        names = set(z.namelist())
+        for sheet, part in sheets(z):
+            for drawn in (t for t in relations(z, part).values() if "drawing" in t.lower() and t in names and t.endswith(".xml")):
+                found = relations(z, drawn)
+                for anchor in ET.fromstring(z.read(drawn)):
+                    start = anchor.find(f"{_X}from")
+                    for blip in anchor.iter(f"{_A}blip") if start is not None else ():
+                        media = found.get(blip.get(f"{_R}embed", ""), "")
+                        if media in names:
+                            row, column = (int(start.findtext(f"{_X}{k}") or 0) + 1 for k in ("row", "col"))
+                            out.append((sheet, row, column, posixpath.basename(media), z.read(media)))
+    return out
+
+
 # --- PPTX ------------------------------------------------------------------------------------------------------
 
 
