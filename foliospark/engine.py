@@ -229,9 +229,10 @@ def ask(made: Collection, question: str, embed: Callable[[list[str]], list[list[
     return corpus.vector_topk(vectors, probe, k).join(chunks, "vec_id").select("place", "similarity", "id", "source", "text")
 
 
-def enrich(made: Collection, store: DataFrame, ids: DataFrame, most: int = 5) -> DataFrame:
-    """The collection's chunks with their entities; the collection itself stays as it is."""
-    return entities.enriched(made.table("chunks").withColumnRenamed("id", "chunk_id"), entities.top(entities.inverted(store, ids), most))
+def enrich(made: Collection, hits: DataFrame, most: int = 5) -> DataFrame:
+    """The collection's chunks with their entities (of ``entities.inverted`` or ``graph.hits``); the collection itself
+    stays as it is."""
+    return entities.enriched(made.table("chunks").withColumnRenamed("id", "chunk_id"), entities.top(hits, most))
 
 
 def sourced(spark: SparkSession, folder: str) -> Callable[[], Iterator[dict[str, Any]]]:

@@ -16,7 +16,6 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.functions.headers import SEPARATOR
 from foliospark.operators import state
 
 Extractor = Callable[[str], tuple[list[tuple[str, str]], list[tuple[str, str, str]]]]
@@ -117,17 +116,12 @@ def _found(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(_FOUND).parquet(f"{folder.rstrip('/')}/found/build={last['build']}")
 
 
-def entity_store(spark: SparkSession, folder: str) -> DataFrame:
-    """pos, entity_name, content and source_id of every entity, as ``entities.inverted`` takes them; the description is
-    that of its first chunk."""
+def hits(spark: SparkSession, folder: str) -> DataFrame:
+    """chunk_id, name, description and exclusive of every entity in every chunk, as ``entities.top`` takes them; the
+    description is that of the entity's first chunk.  No entity's chunks are put into one row."""
     e = _found(spark, folder).filter("kind = 'entity'")
-    g = e.groupBy("name").agg(F.min_by("description", F.struct("chunk_id", "pos")).alias("d"), F.array_join(F.array_sort(F.collect_set("chunk_id")), SEPARATOR).alias("source_id"))
-    return g.select(F.xxhash64("name").alias("pos"), F.col("name").alias("entity_name"), F.concat("name", F.lit("\n"), F.coalesce("d", F.lit(""))).alias("content"), "source_id")
-
-
-def id_store(spark: SparkSession, folder: str) -> DataFrame:
-    """graph_id and full_doc_id of every chunk: a graph of ours names chunks by their own ids."""
-    return _found(spark, folder).filter("kind = 'chunk'").select(F.col("chunk_id").alias("graph_id"), F.col("chunk_id").alias("full_doc_id"))
+    of_name = e.groupBy("name").agg(F.min_by("description", F.struct("chunk_id", "pos")).alias("description"), (F.min("chunk_id") == F.max("chunk_id")).alias("exclusive"))
+    return e.select("chunk_id", "name").distinct().join(of_name, "name").select("chunk_id", "name", "description", "exclusive")
 
 
 def neighbours(spark: SparkSession, folder: str, names: list[str]) -> DataFrame:

@@ -68,14 +68,18 @@ def top_keywords(counts: DataFrame, most: int = 15) -> DataFrame:
 
 
 def keyword_index(counts: DataFrame, files: int | DataFrame, share: float = 0.7, most: int = 50) -> DataFrame:
-    """Inverted index of all keywords: those of at most ``share`` of three or more files, the ``most`` of greatest
-    document frequency (a top-k report), with their files in order."""
+    """keyword and df of the keywords to find files by: those in at most ``share`` of three or more files, the ``most`` of
+    greatest document frequency (a top-k report)."""
     df = counts.groupBy("keyword").agg(F.count("*").alias("df"))
     n = files if isinstance(files, int) else files.count()
     if n >= 3 and 0 < share < 1:
         df = df.filter(F.col("df") <= max(1, int(n * share)))
-    top = df.orderBy(F.desc("df"), "keyword").limit(most)
-    return counts.join(F.broadcast(top), "keyword").groupBy("keyword", "df").agg(F.array_sort(F.collect_list("path")).alias("paths"))
+    return df.orderBy(F.desc("df"), "keyword").limit(most)
+
+
+def postings(counts: DataFrame, index: DataFrame) -> DataFrame:
+    """keyword, df and path: a row for each file of each keyword of the index, so that no keyword's files are one row."""
+    return counts.select("keyword", "path").join(F.broadcast(index), "keyword")  # the index is a top-k report
 
 
 def language_of(chunks: DataFrame) -> DataFrame:

@@ -268,7 +268,7 @@ w AS (SELECT path, kind, text, list_filter(regexp_extract_all(text, '[A-Za-z][A-
 e AS (SELECT path, kind, text, unnest(ws) AS keyword, unnest(range(len(ws))) AS spot FROM w),
 n AS (SELECT path, keyword, count(*) AS times, min({'k': kind, 't': text, 'a': spot}) AS first FROM e GROUP BY ALL),
 top AS (SELECT path, keyword, times, (row_number() OVER (PARTITION BY path ORDER BY times DESC, first))::INTEGER AS place FROM n QUALIFY place <= 15),
-df AS (SELECT keyword, count(*) AS df, string_agg(path, ',' ORDER BY path) AS paths FROM n GROUP BY keyword),
+df AS (SELECT keyword, count(*) AS df FROM n GROUP BY keyword),
 idx AS (SELECT df.* FROM df, (SELECT count(DISTINCT p_brand || '/' || p_size) AS files FROM part) WHERE files < 3 OR df <= greatest(1, floor(files * 0.7)) ORDER BY df DESC, keyword LIMIT 50)
 """
 
@@ -285,9 +285,10 @@ def file_keywords_topk(spark: SparkSession, d: str) -> DataFrame:
     return knowledge.top_keywords(_keywords(spark, d)[0])
 
 
-@query(_KEYS + "SELECT * FROM idx")
+@query(_KEYS + "SELECT keyword, df, path FROM n JOIN idx USING (keyword)")
 def keyword_inverted_index(spark: SparkSession, d: str) -> DataFrame:
-    return knowledge.keyword_index(*_keywords(spark, d)).withColumn("paths", F.array_join("paths", ","))
+    counts, entries = _keywords(spark, d)
+    return knowledge.postings(counts, knowledge.keyword_index(counts, entries))
 
 
 @query(_KEYS + """, k AS (SELECT path, keyword, place, keyword IN (SELECT keyword FROM idx) AS known FROM top),

@@ -158,7 +158,7 @@ def guide_lines(entries: DataFrame, index: DataFrame, stats: DataFrame, summary:
     cell = lambda c: F.replace(c, F.lit("|"), F.lit("\\|"))
     row = F.concat(F.lit("| "), F.concat_ws(" | ", cell(F.col("original_file")), "format", "language", F.col("chunks_count").cast("string"), cell(sections)), F.lit(" |"))
     files = entries.select(F.lit(2).alias("part"), F.col("path").alias("pos"), row.alias("line"))
-    words = index.select(F.lit(4).alias("part"), F.format_string("%012d %s", 10**12 - F.col("df"), F.col("keyword")).alias("pos"), F.concat(F.lit("- **"), "keyword", F.lit("**: "), F.array_join(F.transform("paths", L.stem), ", ")).alias("line"))
+    words = index.select(F.lit(4).alias("part"), F.format_string("%012d %s", 10**12 - F.col("df"), F.col("keyword")).alias("pos"), F.concat(F.lit("- **"), "keyword", F.lit("**: "), F.col("df").cast("string"), F.lit(" files")).alias("line"))
     total = stats.select(F.lit(6).alias("part"), F.lit("").alias("pos"), F.format_string("- %d files, %d chunks, %s tokens; languages: %s", "total_files", "total_chunks", F.format_number("total_tokens", 0), F.array_join("languages", ", ")).alias("line"))
     fixed = [(0, "", "# Collection\n" + (f"\n{summary.strip()}\n" if summary else "")), (1, "", "## Files\n\n| file | format | language | chunks | sections |\n| --- | --- | --- | --- | --- |"), (3, "", "\n## Keywords\n"), (5, "", "\n## Totals\n")]
     head = entries.sparkSession.createDataFrame(fixed, "part int, pos string, line string")

@@ -124,7 +124,8 @@ def test_graph_is_built_in_steps(spark, tmp_path):
     second = graph.build(changed, extract, at)
     assert (second["chunks_extracted"], second["chunks_cached"], second["entities"]) == (1, 1, 3) and len(log.read_text()) == 4
     assert graph.build(changed, extract, at, {"model": "other"})["chunks_extracted"] == 2 and graph.build(changed, extract, at, {"model": "other"}, force=True)["chunks_cached"] == 0
-    hits = entities.inverted(graph.entity_store(spark, at), entities.id_map(graph.id_store(spark, at)))
+    hits = graph.hits(spark, at)
+    assert entities.top(hits, 1).count() == 2
     assert {(x["chunk_id"], x["name"], x["exclusive"]) for x in hits.collect()} == {("c1", "Ann", True), ("c1", "Bob", False), ("c2", "Bob", False), ("c2", "Cy", True)}
     assert [(x["source"], x["target"]) for x in graph.neighbours(spark, at, ["Cy"]).collect()] == [("Bob", "Cy")]
     assert graph.query_mode("full", " Mix ") == "mix"

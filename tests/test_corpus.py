@@ -5,7 +5,6 @@ import hashlib
 import numpy as np
 from pyspark.sql import functions as F
 
-from foliospark import registry
 from foliospark.functions import headers as H
 from foliospark.functions import labels as L
 from foliospark.functions import tables as T
@@ -15,13 +14,14 @@ from foliospark.operators import budget, cleaning, corpus, knowledge, shapes, st
 DATA = "/root/testdata/sf0.001"
 
 
-def test_every_vector_is_a_probe(spark):
-    e = spark.read.parquet(f"{DATA}/embeddings.parquet").orderBy("vec_id").toPandas()
+def test_nearest_vectors_of_all(spark):
+    vectors = spark.read.parquet(f"{DATA}/embeddings.parquet")
+    e = vectors.orderBy("vec_id").toPandas()
     x = np.array(e["embedding"].tolist(), float)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     sim, ids = np.round(x @ x.T, 6), e["vec_id"].to_numpy()
     np.fill_diagonal(sim, -9)
-    got = {(r["probe_id"], r["place"]): r for r in registry.queries()["vector_topk"](spark, DATA).collect()}
+    got = {(r["probe_id"], r["place"]): r for r in corpus.vector_topk(vectors, vectors).collect()}
     assert len(got) == 10 * len(ids)
     for i, row in enumerate(sim):
         for place, j in enumerate(np.argsort(-row, kind="stable")[:10], 1):
@@ -43,9 +43,9 @@ def test_index_holds_all_keywords(spark):
     entries = spark.createDataFrame([(s, [" ".join(w * 2), "group", "everywhere" + " shared" * (s in "ab")]) for s, w in own.items()], "path string, sections array<string>")
     chunks = spark.createDataFrame([("a", "list", None), ("z", "elsewhere", "x"), ("b", None, None)], "source string, title_path string, sheet_name string")
     counts = knowledge.keyword_counts(knowledge.keyword_texts(entries, chunks))
-    got = sorted(((r["keyword"], r["df"], r["paths"]) for r in knowledge.keyword_index(counts, entries).collect()), key=lambda r: (-r[1], r[0]))
-    assert got[0] == ("shared", 2, ["a", "b"]) and len(got) == 50
-    assert got[1:] == sorted((w, 1, [s]) for s, words in own.items() for w in words)[:49]
+    got = sorted(((r["keyword"], r["df"], r["path"]) for r in knowledge.postings(counts, knowledge.keyword_index(counts, entries)).collect()), key=lambda r: (-r[1], r[0], r[2]))
+    assert got[:2] == [("shared", 2, "a"), ("shared", 2, "b")]
+    assert got[2:] == sorted((w, 1, s) for s, words in own.items() for w in words)[:49]
     top = knowledge.top_keywords(counts).collect()
     assert sorted((r["path"], r["keyword"], r["times"], r["place"]) for r in top) == sorted((s, w, 2, i) for s, words in own.items() for i, w in enumerate(words[:15], 1))
 
