@@ -11,6 +11,9 @@ it.  Spans are maximal: the union of all matches at least that long.  The method
    the matching statistics give each word's longest match ending there.  Regions that an automaton already holds
    aren't added.  An automaton holds up to ``SHARD_WORDS``; a longer group has several, one at a time, and all later
    regions stream through each, so memory is bounded and no repeat is lost.
+   An n-gram with more than ``HOT`` regions (a passage of very many documents) would be too much for one task: its
+   regions' windows of ``least`` words meet by hash instead (128 bits), with the least document of each known before
+   they do, so the result is the same and no task holds the group.
 3. Spans are merged per document and cut out, with the white space behind each word.
 
 Automata are built where the shard's regions are, rather than broadcast: the reference is the corpus itself, so
@@ -33,11 +36,13 @@ from pyspark.sql import functions as F
 
 from .common import fragments, materialise, small
 from .ngram_join import cut, uncut
-from .textkernel import Words, column_bytes, grams, sliced
+from .textkernel import Words, column_bytes, grams, mix, sliced
 
 LEAST = 50
 SEED = 16
 SHARD_WORDS = 300_000
+#: a selected n-gram with more regions than this has no group of its own
+HOT = 10_000
 
 
 def _thin(at: np.ndarray, g: np.ndarray, row: np.ndarray, reach: int) -> np.ndarray:
@@ -88,7 +93,8 @@ def _repeated(got: pa.Table) -> pa.Table:
     at = np.flatnonzero(np.append(True, g[1:] != g[:-1])) if len(g) else np.zeros(0, int)
     times = np.diff(np.append(at, len(g)))
     many = np.repeat(doc[at] != doc[at + times - 1], times) if len(g) else np.zeros(0, bool)
-    return pa.table({"doc_id": doc[many], "sig": np.ascontiguousarray(extra[many, 0]), "seed": g[many].view(np.int64), "at": extra[many, 1].astype(np.int32)})
+    n = np.repeat(times, times)[many] if len(g) else times
+    return pa.table({"doc_id": doc[many], "sig": np.ascontiguousarray(extra[many, 0]), "seed": g[many].view(np.int64), "at": extra[many, 1].astype(np.int32), "n": n.astype(np.int32)})
 
 
 class Automaton:
@@ -255,17 +261,52 @@ def _regions(least: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, least: int = LEAST) -> DataFrame:
+def _windows(least: int):
+    """Hashes, document and place of every window of ``least`` words that holds one of its text's hits."""
+    seed = min(SEED, least)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, words in sliced(batches):
+            g, row, at = grams(words, least)
+            other = Words(words.data, words.offsets)
+            other._hash = mix(words.hash + np.uint64(0x5851F42D4C957F2D))
+            h, _, _ = grams(other, least)
+            edge = np.zeros(len(words.hash) + 1, np.int64)
+            for r, hits in enumerate(part.column(3).to_pylist()):
+                lo, hi = int(words.first[r]), int(words.first[r + 1])
+                for x in hits:
+                    edge[max(lo, lo + x["at"] - (least - seed))] += 1
+                    edge[min(hi, lo + x["at"] + 1)] -= 1
+            use = np.cumsum(edge)[at] > 0
+            g, h, row, at = g[use], h[use], row[use], at[use]
+            ids = pa.array(row)
+            yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(h.view(np.int64)), part.column(0).take(ids), part.column(1).take(ids), pa.array((at - words.first[row]).astype(np.int32))], ["g", "h", "doc_id", "sig", "first"])
+
+    return run
+
+
+def repeated_spans(docs: DataFrame, least: int = LEAST, hot: int = HOT) -> DataFrame:
     """doc_id, sig (hash of the row's text) and the sorted, merged spans [first, end) of words to remove."""
     count = fragments(docs.sparkSession, docs)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("sig"), "text").filter("doc_id is not null and text is not null")
     blocks = texts.mapInArrow(_select(least, count), "frag int, docs binary, times binary, grams binary, extra binary")
-    hits = blocks.groupBy("frag").applyInArrow(lambda t: _repeated(t), "doc_id long, sig long, seed long, at int")
-    hits = materialise(hits.groupBy("doc_id", "sig").agg(F.collect_set(F.struct("seed", "at")).alias("hits")), "hits")
-    near = texts.join(small(hits.select("doc_id", "sig")), ["doc_id", "sig"], "left_semi").dropDuplicates(["doc_id", "sig"])
-    regions = near.join(hits, ["doc_id", "sig"]).select("doc_id", "sig", "text", "hits").mapInArrow(_regions(least), "seed long, doc_id long, sig long, first int, words binary")
+    hits = blocks.groupBy("frag").applyInArrow(lambda t: _repeated(t), "doc_id long, sig long, seed long, at int, n int")
+    hits = materialise(hits.groupBy("doc_id", "sig").agg(F.collect_set(F.struct("seed", "at", "n")).alias("hits")), "hits")
+
+    def near(part: DataFrame) -> DataFrame:
+        kept = texts.join(small(part.select("doc_id", "sig")), ["doc_id", "sig"], "left_semi").dropDuplicates(["doc_id", "sig"])
+        return kept.join(part, ["doc_id", "sig"]).select("doc_id", "sig", "text", "hits")
+
+    few = hits.withColumn("hits", F.filter("hits", lambda x: x["n"] <= hot)).filter("size(hits) > 0")
+    many = hits.withColumn("hits", F.filter("hits", lambda x: x["n"] > hot)).filter("size(hits) > 0")
+    regions = near(few).mapInArrow(_regions(least), "seed long, doc_id long, sig long, first int, words binary")
     streams = regions.repartition(count, "seed").sortWithinPartitions("seed", "doc_id", "sig", "first")
     spans = streams.mapInArrow(_shard(least), "doc_id long, sig long, first int, end int")
+    if not many.isEmpty():
+        windows = materialise(near(many).mapInArrow(_windows(least), "g long, h long, doc_id long, sig long, first int"), "windows")
+        least_of = windows.groupBy("g", "h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("g", "h", "lo")
+        later = windows.join(least_of, ["g", "h"]).filter("doc_id > lo")
+        spans = spans.unionByName(later.select("doc_id", "sig", "first", (F.col("first") + least).alias("end")))
     joined = F.aggregate(
         F.array_sort(F.collect_list(F.struct("first", "end"))),
         F.expr("cast(array() as array<struct<first:int,end:int>>)"),
@@ -301,9 +342,9 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(removed, pa.int32())], ["doc_id", "text", "removed_words"])
 
 
-def deduplicated(docs: DataFrame, least: int = LEAST) -> DataFrame:
+def deduplicated(docs: DataFrame, least: int = LEAST, hot: int = HOT) -> DataFrame:
     """doc_id, text without repeated spans, and the number of words removed, of every row."""
-    spans = materialise(repeated_spans(docs, least), "spans")
+    spans = materialise(repeated_spans(docs, least, hot), "spans")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("sig"))
     found = texts.join(small(spans), ["doc_id", "sig"], "left")
     return found.select("doc_id", "text", "spans").mapInArrow(_without, "doc_id long, text string, removed_words int")

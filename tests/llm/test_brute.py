@@ -224,8 +224,9 @@ def test_substrings_equal_brute_force(spark):
     rng = random.Random(5)
     passage = [prose(rng, 70) for _ in range(4)]
     texts = {i: " ".join(rng.choice([prose(rng, 40), rng.choice(passage), "again " * 30]) for _ in range(5)).strip() for i in range(60)}
-    got = {r["doc_id"]: r["text"].split() for r in substring_dedup.deduplicated(docs(spark, list(texts.items()))).collect()}
-    assert got == brute_spans(texts, substring_dedup.LEAST)
+    for hot in (substring_dedup.HOT, 12, 0):  # groups by automata, some or all by windows
+        got = {r["doc_id"]: r["text"].split() for r in substring_dedup.deduplicated(docs(spark, list(texts.items())), hot=hot).collect()}
+        assert got == brute_spans(texts, substring_dedup.LEAST)
 
 
 def test_small_shards_lose_nothing():
