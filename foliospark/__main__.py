@@ -1,4 +1,4 @@
-"""Command line: python -m foliospark ingest|inspect|list|summary|export|doctor …"""
+"""Command line: python -m foliospark ingest|inspect|list|summary|export|graph-status|doctor …"""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ import sys
 from pyspark.sql import SparkSession
 
 from foliospark import engine, settings
+from foliospark.operators import graph
 
 
 def doctor() -> dict[str, dict[str, str | None]]:
@@ -37,6 +38,7 @@ def main(arguments: list[str] | None = None) -> int:
     todo.add_parser("inspect", help="what is known of files before any work").add_argument("paths", nargs="+")
     todo.add_parser("list", help="collections below a folder").add_argument("root")
     todo.add_parser("summary", help="totals of a collection").add_argument("folder")
+    todo.add_parser("graph-status", help="what a graph holds").add_argument("folder")
     todo.add_parser("doctor", help="what this machine has")
     export = todo.add_parser("export", help="write Markdown, chunk records and a guide")
     export.add_argument("folder")
@@ -45,6 +47,9 @@ def main(arguments: list[str] | None = None) -> int:
     if given.command == "doctor":
         print(json.dumps(doctor(), indent=1))
         return 0
+    if given.command == "graph-status":
+        print(json.dumps(graph.status(given.folder)))
+        return 0
     spark = SparkSession.builder.appName("foliospark").getOrCreate()
     if given.command == "ingest":
         try:
