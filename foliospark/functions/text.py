@@ -5,16 +5,22 @@ All are built-in expressions, so they stay in generated code.  Null text gives n
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: characters that count one and a half tokens, as Java escapes
 WIDE = "[\\x{2E80}-\\x{9FFF}\\x{F900}-\\x{FAFF}\\x{FE30}-\\x{FE4F}\\x{AC00}-\\x{D7AF}\\x{20000}-\\x{2FA1F}]"
 LOADER_WIDE = "[\\x{4E00}-\\x{9FFF}\\x{3040}-\\x{30FF}\\x{AC00}-\\x{D7AF}]"
 #: white space of any alphabet, as Python's strip and split see it
-SPACE = "(?U)[\\s\\x1C-\\x1F]"
+SPACE = "[\\t-\\r\\x1C-\\x20\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000]"
+_WHITE = "\t\n\v\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """An expression over a value that is worked out once."""
+    return F.element_at(F.transform(F.array(value), lambda v: use(v)), 1)
 
 
 def of_class(text: Column, pattern: str) -> Column:
@@ -24,11 +30,12 @@ def of_class(text: Column, pattern: str) -> Column:
 
 def stripped(text: Column) -> Column:
     """Without white space, of any alphabet, at both ends."""
-    return F.regexp_replace(text, f"{SPACE}+$|^{SPACE[4:]}+", "")
+    return F.btrim(text, F.lit(_WHITE))
 
 
 def _weighted(text: Column, wide: str) -> Column:
-    n = F.length(F.regexp_replace(text, wide, ""))  # what isn't wide
+    # what isn't wide: all of an ASCII text
+    n = F.when(F.octet_length(text) == F.length(text), F.length(text)).otherwise(F.length(F.regexp_replace(text, wide, "")))
     return ((F.length(text) - n) * F.lit(1.5) + n * F.lit(0.25)).cast("int")
 
 
@@ -42,14 +49,21 @@ def loader_tokens(text: Column) -> Column:
     return F.when(F.length(text) == 0, 0).otherwise(_weighted(text, LOADER_WIDE))
 
 
+_LETTERS = "".join(map(chr, range(0x41, 0x7B)))  # and what stands between capitals and small letters
+
+
 def detect_language(text: Column, sample: int = 2000) -> Column:
     """ja, ko, zh, en or unknown, by shares of scripts among what isn't white space in the first ``sample`` characters."""
-    ink = F.regexp_replace(F.substring(text, 1, sample), f"{SPACE}+", "")
-    share = lambda p: of_class(ink, p) / F.length(ink)
-    return (
-        F.when(text.isNull(), None).when(F.length(ink) == 0, "unknown").when(share("[\\x{3040}-\\x{30FF}\\x{31F0}-\\x{31FF}]") > 0.05, "ja")
-        .when(share("[\\x{AC00}-\\x{D7AF}]") > 0.05, "ko").when(share("[\\x{4E00}-\\x{9FFF}]") > 0.10, "zh").when(share("[A-z]") > 0.5, "en").otherwise("unknown")
-    )
+
+    def named(ink: Column) -> Column:
+        share = lambda p: of_class(ink, p) / F.length(ink)
+        return (
+            F.when(ink.isNull(), None).when(F.length(ink) == 0, "unknown").when(share("[\\x{3040}-\\x{30FF}\\x{31F0}-\\x{31FF}]") > 0.05, "ja")
+            .when(share("[\\x{AC00}-\\x{D7AF}]") > 0.05, "ko").when(share("[\\x{4E00}-\\x{9FFF}]") > 0.10, "zh")
+            .when((F.length(ink) - F.length(F.translate(ink, _LETTERS, ""))) / F.length(ink) > 0.5, "en").otherwise("unknown")
+        )
+
+    return let(F.regexp_replace(F.substring(text, 1, sample), f"{SPACE}+", ""), named)
 
 
 # --- scripts ---------------------------------------------------------------------------------------------------
@@ -79,10 +93,17 @@ def script_of(character: Column) -> Column:
 
 
 def script_counts(text: Column) -> Column:
-    """Characters by script, those without any left out, as a map; Other is what no script has."""
-    counts = [F.struct(F.lit(n).alias("key"), of_class(text, script_class([n])).alias("value")) for n in SCRIPTS]
-    other = F.struct(F.lit("Other").alias("key"), of_class(text, script_class(SCRIPTS, True)).alias("value"))
-    return F.map_from_entries(F.filter(F.array(*counts, other), lambda x: x["value"] > 0))
+    """Characters by script, those without any left out, as a map; Other is what no script has.  What is common and
+    Latin goes first, so that the other scripts are looked for in what little is left of most texts."""
+
+    def all_of(common: Column, plain: Column, rest: Column) -> Column:
+        n = {"Common": common, "Latin": F.length(plain) - F.length(rest)}
+        counts = [F.struct(F.lit(k).alias("key"), n.get(k, of_class(rest, script_class([k]))).alias("value")) for k in SCRIPTS]
+        other = F.struct(F.lit("Other").alias("key"), of_class(rest, script_class(SCRIPTS, True)).alias("value"))
+        return F.map_from_entries(F.filter(F.array(*counts, other), lambda x: x["value"] > 0))
+
+    latin = script_class(["Latin"])
+    return let(F.regexp_replace(text, script_class(["Common"]), ""), lambda p: let(F.regexp_replace(p, latin, ""), lambda r: all_of(F.length(text) - F.length(p), p, r)))
 
 
 def unexpected_ratio(text: Column, scripts: Iterable[str]) -> Column:
@@ -194,6 +215,16 @@ def pii_counts(text: Column, rules: Iterable[str] = tuple(RULES)) -> dict[str, C
     return out
 
 
+def pii_table(df: DataFrame, text: str, rules: Iterable[str] = tuple(RULES)) -> DataFrame:
+    """df with a column of counts for each rule and ``masked``: rule by rule, so that no text is masked twice."""
+    kept = df.columns
+    df = df.withColumn("masked", F.col(text))
+    for rule in rules:
+        found = _found(F.col("masked"), rule)
+        df = df.withColumns({rule: F.size(F.filter(found, luhn) if rule == "credit_card" else found), "masked": _masked(F.col("masked"), rule)})
+    return df.select(*kept, *rules, "masked")
+
+
 # --- keywords --------------------------------------------------------------------------------------------------
 
 STOP = ("group", "list", "slide")

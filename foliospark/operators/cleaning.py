@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.functions.text import stripped
+from foliospark.functions.text import SPACE, stripped
 from foliospark.operators.chunking import PAGE_BREAK
 
 _STRUCTURE = ("#", "|", ">", "*", "-", "```", "<!--")
@@ -73,9 +73,9 @@ def strip_repeating(docs: DataFrame, least: int = 3, longest: int = 120) -> Data
     of them only; ``removed`` counts the lines left out.  Short lines and places are shuffled, texts aren't unless many
     documents lose lines; rows of one id count as one document, rows of null id stay as they are."""
     name = stripped(F.col("line"))
-    fit = (name != "") & ~F.exists(F.array(*map(F.lit, _STRUCTURE)), lambda p: name.startswith(p)) & (F.length(name) <= longest)
+    fit = (name != "") & (F.length(name) <= longest) & ~name.rlike("^(?:[#|>*-]|```|<!--)")
     lines = docs.filter("doc_id is not null").select("source", "doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line")).filter(fit)
-    lines = lines.select("source", "doc_id", "at", F.regexp_replace("line", "(?U)\\s+", "").alias("key"))
+    lines = lines.select("source", "doc_id", "at", F.regexp_replace("line", f"{SPACE}+", "").alias("key"))
     first = F.min(F.struct("doc_id", "at")).alias("first")
     held = lines.groupBy("source", "key").agg(F.countDistinct("doc_id").alias("docs"), first).filter(F.col("docs") >= least)
     a, b = lines.alias("a"), held.alias("b")

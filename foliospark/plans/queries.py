@@ -78,7 +78,7 @@ SELECT doc_id, len(regexp_extract_all(t0, '{_MAIL}'))::INTEGER AS email, len(reg
   len(regexp_extract_all(t3, '{_HOST}'))::INTEGER AS ipv4, len(regexp_extract_all(t4, '{_PHONE}'))::INTEGER AS phone_jp FROM p
 """)
 def sanitize_counts(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", *[c.cast("int").alias(n) for n, c in X.pii_counts(F.expr(_MARKED_UP)).items()])
+    return X.pii_table(table(spark, d, "documents").select("doc_id", F.expr(_MARKED_UP).alias("text")), "text").drop("text", "masked")
 
 
 @query(_RULED + f"SELECT doc_id, regexp_replace(t4, '{_PHONE}', '[PHONE]', 'g') AS text FROM p")
