@@ -29,6 +29,8 @@ from foliospark.sources import office, output, subtitles
 RELEVANT = ["limits", "sanitize", "strip_repeating"]
 DEFAULTS: dict[str, Any] = {"limits": {"most": chunking.MOST, "least": chunking.LEAST, "overlap": chunking.OVERLAP}, "sanitize": False, "strip_repeating": False, "safety": "strict", "path_headers": True}
 _MODES = ("naive",)
+#: formats whose bytes aren't text and that nothing here reads
+UNREAD = ("pdf", "doc", "xls", "ppt", "zip", *(k for k, how in chunking.STRATEGIES.items() if how in ("whole", "timestamp")))
 
 
 class BudgetExceeded(ValueError):
@@ -113,8 +115,10 @@ def parsed(spark: SparkSession, paths: list[str], settings: dict[str, Any]) -> D
     """A row a file (archives expanded): path, original_file, format, cache_key, text (cleaned), error."""
     found = sources.expanded(sources.discover(spark, paths)).withColumn("format", sources.sniffed_format(F.col("content"), F.col("name")))
     found = found.withColumn("path", F.concat_ws("!", "path", "name")).withColumn("cache_key", L.cache_key(F.col("content"), F.col("name")))
-    plain = sources.texts(found.filter(~F.col("format").isin(*office.READERS))).select("path", "text", F.when(F.col("encoding") == "binary", "parse_error: binary file").alias("why"))
-    read = plain.unionByName(office.parsed(found.filter(F.col("format").isin(*office.READERS))).withColumnRenamed("error", "why"))
+    other = F.col("format").isin(*office.READERS, *UNREAD)
+    plain = sources.texts(found.filter(~other)).select("path", "text", F.when(F.col("encoding") == "binary", "parse_error: binary file").alias("why"))
+    unread = found.filter(F.col("format").isin(*UNREAD)).select("path", F.lit(None).cast("string").alias("text"), F.concat(F.lit("parse_error: nothing reads "), "format").alias("why"))
+    read = plain.unionByName(unread).unionByName(office.parsed(found.filter(F.col("format").isin(*office.READERS))).withColumnRenamed("error", "why"))
     cued = subtitles.transcript(subtitles.cues(read.join(found.select("path", "format"), "path"), "path", "text", "format"), "path")
     both = found.drop("content").join(read, "path").join(cued, "path", "left").withColumn("text", F.coalesce("markdown", "text")).drop("markdown")
     text = F.when(F.col("format").isin("xlsx", "csv"), T.clean_sheets(F.col("text"))).when(F.contains(F.col("text"), F.lit("|")), T.denoised(F.col("text"))).otherwise(F.col("text"))

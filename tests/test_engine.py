@@ -78,6 +78,7 @@ def test_ingest_twice_and_export(spark, tmp_path):
     (src / "x.xlsx").write_bytes(book())
     (src / "bad.pptx").write_bytes(b"PK\x03\x04 no")
     (src / "b.txt").write_bytes(b"\0\0")
+    (src / "p.pdf").write_bytes(b"%PDF-1.4 no text")
     (src / "s.srt").write_text("1\n00:00:01,000 --> 00:00:02,000\nhello\n")
     (src / "z.zip").write_bytes(zipped({"q.txt": "inside"}))
     made = engine.ingest(spark, [str(src)], out)
@@ -85,12 +86,12 @@ def test_ingest_twice_and_export(spark, tmp_path):
     assert {k[0] for k in chunks} == {"a.md", "w.docx", "x.xlsx", "s.srt", "z__q.txt"}
     assert chunks["s.srt", 0]["text"] == "[来源: sources/s.md]\n## Transcript\n\n[00:01] hello" and chunks["x.xlsx", 0]["sheet_name"] == "One"
     s = made.summary()
-    assert (s["total_files"], s["added"], s["failed"], s["cached"]) == (6, 6, 2, 0)
+    assert (s["total_files"], s["added"], s["failed"], s["cached"]) == (6, 6, 3, 0)
     assert {r["name"] for r in made.table("sources").collect()} >= {"a.md", "a_1.md"}
     (src / "sub" / "a.md").write_text("changed text")
     again = engine.ingest(spark, [str(src)], out)
     s = again.summary()
-    assert (again.run, s["added"], s["cached"], s["failed"]) == (2, 1, 5, 2) and again.table("chunks").count() == made.table("chunks").count()
+    assert (again.run, s["added"], s["cached"], s["failed"]) == (2, 1, 5, 3) and again.table("chunks").count() == made.table("chunks").count()
     assert {(r["original_file"], r["text"]) for r in again.table("chunks").collect()} >= {("w.docx", chunks["w.docx", 0]["text"])}
     assert engine.ingest(spark, [str(src)], out, {"limits": {"most": 300}}).summary()["updated"] == 6
     again.export(f"file://{tmp_path}/exported")
