@@ -10,14 +10,17 @@ texts with Jaccard similarity of at least ``threshold`` are found, exactly:
 3. Candidates.  The survivors' whole hashes are cut again; fragments give back document frequencies.  Each survivor
    orders its grams globally, rare first; two documents of a pair share a gram among the first
    size - ceil(threshold x size) + 1 of both, so frequent grams (a licence line, a greeting) never meet themselves.
+   Of their first shared gram, the places in both orders leave enough grams for the overlap: other meetings are none.
 4. Overlaps.  The gram order is cut into ``VERTICAL`` fragments; each counts every candidate's partial overlap on its
    own, and a sum per pair gives the overlap.  A document's segments go once to the cell of its group's least id.
 
 ``similar_pairs`` has all pairs of classes, and a row for each further member of a class: copies are not expanded.
 ``linked`` has a row per document with the id of its group (what pairs lead to, least id) and its numbers of copies and
-of links; both are sums over pairs of classes, so its rows grow with the documents, not with their pairs.  ``one_of_each`` needs groups only, not pairs.  It first counts each document with the least one of each of its posting
-lists; candidates whose documents that has put into one group are then left out, all others are counted, so groups
-are those of all pairs without pairs inside large groups.
+of links; ``one_of_each`` needs groups only.  Groups don't need their pairs: each document is first counted with the least
+one of each of its posting lists; candidates whose documents that has put into one group are then left out, all others
+are counted, so groups are those of all pairs.  No pair leaves its group, so ``linked`` then counts all links of a group
+at once: parts of at most ``PART_DOCS`` documents (``PART_GRAMS`` grams) meet in cells, where overlaps are summed up over
+fragments of the grams as products of 0/1 matrices.  Only a number per document leaves a cell, pairs are no rows.
 
 Blocks of numpy bytes are shuffled, a row per fragment and slice of input, not rows per gram.  No posting list or
 group is cut.
@@ -38,12 +41,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fragments, free_name, materialise, released, small
-from .textkernel import column_bytes, grams, sliced, unique_rows
+from .textkernel import column_bytes, grams, release, sliced, unique_rows
 
 NGRAM = 3
 THRESHOLD = 0.5
 VERTICAL = 8
 PAIRS_AT_ONCE = 1_000_000
+PART_DOCS = 2_048
+PART_GRAMS = 2_000_000
+#: a gram of fewer than a cell's documents / RARE is counted by its pairs, others in matrices of GRAMS_AT_ONCE columns
+RARE = 32
+GRAMS_AT_ONCE = 2_048
 INK = "[^ \\t\\n\\u000B\\f\\r]"
 
 
@@ -161,21 +169,21 @@ def _frequencies(got: pa.Table) -> pa.Table:
     return pa.table([pa.array(ids), pa.array(size.astype(np.int32)), _binary(g[more], edges), _binary(df[more], edges)], ["doc_id", "size", "grams", "df"])
 
 
-def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Tables holding all rows of each of their documents, from a stream ordered by document."""
+def _whole(batches: Iterator[pa.RecordBatch], most_bytes: int = 1 << 62) -> Iterator[pa.Table]:
+    """Tables holding all rows of each of their documents (their first column), from a stream ordered by it."""
     kept: list[pa.RecordBatch] = []
-    rows = 0
+    rows = size = 0
     for b in batches:
         if not b.num_rows:
             continue
         kept.append(b)
-        rows += b.num_rows
+        rows, size = rows + b.num_rows, size + b.nbytes
         ids = b.column(0).to_numpy()
         tail = int(np.searchsorted(ids, ids[-1]))
-        if rows > 20_000 and tail:
+        if (rows > 20_000 or size > most_bytes) and tail:
             kept[-1] = b.slice(0, tail)
             yield pa.Table.from_batches(kept)
-            kept, rows = [b.slice(tail)], b.num_rows - tail
+            kept, rows, size = [b.slice(tail)], b.num_rows - tail, b.slice(tail).nbytes
     if kept:
         yield pa.Table.from_batches(kept)
 
@@ -185,7 +193,7 @@ def prefix_length(size: np.ndarray, threshold: float) -> np.ndarray:
 
 
 def _ordered(threshold: float):
-    """Per document: all its shared grams in order of hash, and those of its prefix."""
+    """Per document: all its shared grams in order of hash, those of its prefix and these ones' places in its order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _whole(batches):
@@ -205,13 +213,15 @@ def _ordered(threshold: float):
             by_hash = np.lexsort((g, row))
             edges = np.append(first, len(g))
             p = np.append(0, np.cumsum(inside))[edges]
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(size.astype(np.int32)), _binary(g[by_hash], edges), _binary(g[inside], p)], ["doc_id", "size", "grams", "prefix"])
+            place = (rank + (size - n)[row])[inside].astype(np.uint32)  # grams of no other document come first
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(size.astype(np.int32)), _binary(g[by_hash], edges), _binary(g[inside], p), _binary(place, p)], ["doc_id", "size", "grams", "prefix", "place"])
 
     return run
 
 
 def _cut_prefixes(count: int):
-    """Blocks of (doc_id, size, label, prefix) rows' prefix grams; size and label go along with each document."""
+    """Blocks of (doc_id, size, label, prefix, place) rows' prefix grams and their places; size and label go along with
+    each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -221,7 +231,8 @@ def _cut_prefixes(count: int):
                 row = np.repeat(np.arange(b.num_rows), np.diff(off) // 8)
                 about = np.empty(b.num_rows, _ABOUT)
                 about["size"], about["label"] = b.column(1).to_numpy(), b.column(2).to_numpy()
-                yield cut(b.column(0).to_numpy()[row], g, count, about=about[row])
+                place = np.frombuffer(column_bytes(b.column(4))[0], "<u4")
+                yield cut(b.column(0).to_numpy()[row], g, count, extra=place, about=about[row])
 
     return run
 
@@ -230,52 +241,60 @@ _ABOUT = np.dtype([("size", "<u4"), ("label", "<i8")])
 
 
 def _candidates(threshold: float, part: str):
-    """Pairs of a fragment's posting lists whose sizes allow the threshold: "all" of them, "first": those with the
-    list's least document, "rest": the others, if their labels differ."""
+    """Pairs of a fragment's posting lists whose sizes and places allow the threshold: "all" of them, "first": those
+    with the list's least document, "rest": the others, if their labels differ."""
 
     def run(got: pa.Table) -> pa.Table:
         doc, g = uncut(got)
         about = np.frombuffer(column_bytes(got["about"].combine_chunks())[0], _ABOUT)
         about = np.repeat(about, np.frombuffer(column_bytes(got["times"].combine_chunks())[0], "<u4"))
-        o = np.lexsort((doc, g))
-        doc, g, size, label = doc[o], g[o], about["size"][o].astype(np.int64), about["label"][o]
+        place = np.frombuffer(column_bytes(got["extra"].combine_chunks())[0], "<u4")
+        label = doc if part == "all" else about["label"]
+        o = np.lexsort((doc, g) if part == "first" else (doc, label, g))
+        doc, g, label = doc[o], g[o], label[o]
+        size = about["size"][o].astype(np.int64)
+        left = size - place[o]  # grams from this one on: no more can be shared if it is the first one shared
+        ids, code = np.unique(doc, return_inverse=True)
         at = np.flatnonzero(np.append(True, g[1:] != g[:-1])) if len(g) else np.zeros(0, int)
         times = np.diff(np.append(at, len(g)))
-        # equal posting lists (near copies share most grams) are joined once
-        ids, code = np.unique(doc, return_inverse=True)
         found: list[np.ndarray] = []
-        seen: set[bytes] = set()
         waiting = 0
 
-        def settle() -> None:
+        def meet(i: np.ndarray, j: np.ndarray) -> None:
             nonlocal waiting
-            found[:] = [np.unique(np.concatenate(found))]
-            waiting = 0
-
-        use = times > 1
-        if part == "rest" and len(g):
-            use &= np.minimum.reduceat(label, at) != np.maximum.reduceat(label, at)
-        for s, m in zip(at[use].tolist(), times[use].tolist()):
-            who = code[s : s + m]
-            key = who.tobytes()
-            if key in seen:
-                continue
-            seen.add(key)
-            if len(seen) > 100_000:
-                seen.clear()
-            z, own = size[s : s + m], label[s : s + m]
-            for i in range(part == "rest", 1 if part == "first" else m - 1):
-                fit = np.minimum(z[i], z[i + 1 :]) >= threshold * np.maximum(z[i], z[i + 1 :]) - 1e-6
-                if part == "rest":
-                    fit &= own[i] != own[i + 1 :]
-                pair = (np.int64(who[i]) << np.int64(32)) | who[i + 1 :][fit].astype(np.int64)
-                found.append(pair)
-                waiting += len(pair)
-                if waiting > PAIRS_AT_ONCE:
-                    settle()
-        if found:
-            settle()
-        p = found[0] if found else np.zeros(0, np.int64)
+            fit = np.minimum(size[i], size[j]) >= threshold * np.maximum(size[i], size[j]) - 1e-6
+            fit &= np.minimum(left[i], left[j]) * (1 + threshold) >= threshold * (size[i] + size[j]) - 1e-6
+            x, y = code[i[fit]].astype(np.int64), code[j[fit]].astype(np.int64)
+            found.append((np.minimum(x, y) << 32) | np.maximum(x, y))
+            waiting += len(x)
+            if waiting > PAIRS_AT_ONCE:
+                found[:] = [np.unique(np.concatenate(found))]
+                waiting = 0
+
+        if part == "first":
+            i, j = np.repeat(at, times), np.arange(len(g))
+            meet(i[i < j], j[i < j])
+        elif len(g):
+            # sorted by label: a row meets those of its list after its label's run
+            stop = np.repeat(at + times, times)
+            new = np.flatnonzero(np.append(True, (g[1:] != g[:-1]) | (label[1:] != label[:-1])))
+            begin = np.repeat(np.append(new[1:], len(g)), np.diff(np.append(new, len(g))))
+            if part == "rest":
+                other = doc > np.repeat(np.minimum.reduceat(doc, at), times)
+            else:
+                other = np.ones(len(g), np.bool_)
+            rows = np.flatnonzero((stop > begin) & other)
+            many = (stop - begin)[rows]
+            ends = np.cumsum(many)
+            k = 0
+            while k < len(rows):
+                to = max(k + 1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + PAIRS_AT_ONCE)))
+                m = many[k:to]
+                i = np.repeat(rows[k:to], m)
+                j = np.arange(len(i)) + np.repeat(begin[rows[k:to]] - (np.cumsum(m) - m), m)
+                meet(i[other[j]], j[other[j]])
+                k = to
+        p = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
         a, b = ids[p >> 32] if len(p) else ids[:0], ids[p & 0xFFFFFFFF] if len(p) else ids[:0]
         apart = a != b
         return pa.table({"a": a[apart].astype(np.int64), "b": b[apart].astype(np.int64)})
@@ -335,20 +354,20 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _gram_sets(docs: DataFrame, links: DataFrame, n: int, threshold: float, count: int) -> DataFrame:
-    """doc_id, size, all shared grams and the prefix of every class that may be in a pair."""
+    """doc_id, size, all shared grams, the prefix and its places of every class that may be in a pair."""
     alive = materialise(survivors(docs, n, threshold, count).join(links.filter("doc_id = rep").select("doc_id"), "doc_id", "left_semi"), "survivors")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(alive), "doc_id", "left_semi")
     known = _cut_texts(texts, n, count, False).groupBy("frag").applyInArrow(lambda t: released(_frequencies(t)), "doc_id long, size int, grams binary, df binary")
-    sets = known.repartition(count, "doc_id").sortWithinPartitions("doc_id").mapInArrow(_ordered(threshold), "doc_id long, size int, grams binary, prefix binary")
+    sets = known.repartition(count, "doc_id").sortWithinPartitions("doc_id").mapInArrow(_ordered(threshold), "doc_id long, size int, grams binary, prefix binary, place binary")
     return materialise(sets, "sets")
 
 
 def _found(sets: DataFrame, threshold: float, count: int, part: str = "all", labels: DataFrame | None = None) -> DataFrame:
     """a < b: candidates of the sets' prefixes (see ``_candidates``); labels: doc_id, root."""
-    labelled = sets.select("doc_id", "size", F.col("doc_id").alias("label"), "prefix")
+    labelled = sets.select("doc_id", "size", F.col("doc_id").alias("label"), "prefix", "place")
     if labels is not None:
-        labelled = sets.join(small(labels), "doc_id", "left").select("doc_id", "size", F.coalesce("root", "doc_id").alias("label"), "prefix")
-    cuts = labelled.mapInArrow(_cut_prefixes(count), _BLOCKS + ", about binary")
+        labelled = sets.join(small(labels), "doc_id", "left").select("doc_id", "size", F.coalesce("root", "doc_id").alias("label"), "prefix", "place")
+    cuts = labelled.mapInArrow(_cut_prefixes(count), _BLOCKS + ", extra binary, about binary")
     return materialise(cuts.groupBy("frag").applyInArrow(_candidates(threshold, part), "a long, b long").distinct(), "candidates")
 
 
@@ -399,17 +418,115 @@ def components(pairs: DataFrame, a: str = "doc_a", b: str = "doc_b") -> DataFram
         label = moved.select("u", F.col("next").alias("root"))
 
 
+def _edges(sets: DataFrame, threshold: float, count: int) -> DataFrame:
+    """doc_a and doc_b: similar pairs of classes that lead to all that their other pairs lead to."""
+    first = materialise(_similar(sets, _found(sets, threshold, count, "first"), threshold, count).select("doc_a", "doc_b"), "first")
+    joined = materialise(components(first), "joined")
+    rest = _similar(sets, _found(sets, threshold, count, "rest", joined), threshold, count).select("doc_a", "doc_b")
+    # a group so far is a star about its root: rounds don't grow with its diameter again
+    return joined.filter("doc_id <> root").select(F.col("root").alias("doc_a"), F.col("doc_id").alias("doc_b")).unionByName(rest)
+
+
+def _overlap_matrix(row: np.ndarray, g: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Numbers of shared grams of the documents left x right; row: the document (of ``left`` or ``right``) of each gram."""
+    rows = int(max(left.max(), right.max())) + 1
+    o = np.argsort(g, kind="stable")
+    row, g = row[o], g[o]
+    at = np.flatnonzero(np.append(True, g[1:] != g[:-1])) if len(g) else np.zeros(0, int)
+    df = np.diff(np.append(at, len(g)))
+    found = np.zeros((len(left), len(right)), np.float32)
+    often = df >= max(2, rows / RARE)
+    column = np.where(often, np.cumsum(often) - 1, -1)
+    which = np.repeat(column, df)
+    edge = np.searchsorted(which[which >= 0], np.arange(0, int(often.sum()) + GRAMS_AT_ONCE, GRAMS_AT_ONCE))
+    r, c = row[which >= 0], which[which >= 0]
+    for k, (lo, hi) in enumerate(zip(edge[:-1], edge[1:])):
+        one = np.zeros((rows, min(GRAMS_AT_ONCE, int(often.sum()) - k * GRAMS_AT_ONCE)), np.float32)
+        one[r[lo:hi], c[lo:hi] - k * GRAMS_AT_ONCE] = 1
+        found += one[left] @ one[right].T
+    # grams of few documents: each of the left with each of the right
+    x_of, y_of = np.full(rows, -1), np.full(rows, -1)
+    x_of[left], y_of[right] = np.arange(len(left)), np.arange(len(right))
+    few = np.repeat((df > 1) & ~often, df)
+    r, c = row[few], np.repeat(np.arange(len(df)), df)[few]
+    x, xc, y, yc = x_of[r][x_of[r] >= 0], c[x_of[r] >= 0], y_of[r][y_of[r] >= 0], c[y_of[r] >= 0]
+    begin = np.searchsorted(yc, xc)
+    many = np.searchsorted(yc, xc, "right") - begin
+    ends = np.cumsum(many)
+    k = 0
+    while k < len(x):
+        to = max(k + 1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + 4 * PAIRS_AT_ONCE)))
+        m = many[k:to]
+        i = np.repeat(x[k:to].astype(np.int64), m)
+        j = y[np.arange(len(i)) + np.repeat(begin[k:to] - (np.cumsum(m) - m), m)]
+        found += np.bincount(i * len(right) + j, minlength=found.size).reshape(found.shape)
+        k = to
+    return found
+
+
+def cell_links(side: np.ndarray, own: bool, row: np.ndarray, g: np.ndarray, size: np.ndarray, members: np.ndarray, threshold: float) -> np.ndarray:
+    """Of each document of a cell the members of all it is similar to on the other side (own: of all others)."""
+    left, right = (np.arange(len(side)),) * 2 if own else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+    total = np.zeros(len(side))
+    if not (len(left) and len(right)):
+        return total.astype(np.int64)
+    overlap = _overlap_matrix(row, g, left, right)
+    if own:
+        np.fill_diagonal(overlap, 0)
+    weight = members.astype(float)
+    for s in range(0, len(left), 256):
+        some = left[s : s + 256]
+        shared = overlap[s : s + 256].astype(float)
+        hit = (shared / (size[some][:, None] + size[right][None, :] - shared) >= threshold - 1e-12).astype(float)
+        total[some] += hit @ weight[right]
+        if not own:
+            total[right] += weight[some] @ hit
+    return total.astype(np.int64)
+
+
+def _links(threshold: float):
+    """cell, side, own, doc_id, size, members, grams in order of cell -> doc_id, others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _whole(batches, 32 << 20):
+            cell, side, own, ids, size, members = (t[c].to_numpy() for c in ("cell", "side", "own", "doc_id", "size", "members"))
+            raw, off = column_bytes(t["grams"].combine_chunks())
+            g, off = np.frombuffer(raw, "<u8"), off // 8
+            at = np.append(np.flatnonzero(np.append(True, cell[1:] != cell[:-1])), len(cell))
+            others = np.zeros(len(cell), np.int64)
+            for s, e in zip(at[:-1].tolist(), at[1:].tolist()):
+                row = np.repeat(np.arange(e - s), np.diff(off[s : e + 1]))
+                others[s:e] = cell_links(side[s:e], bool(own[s]), row, g[off[s] : off[e]], size[s:e].astype(np.int64), members[s:e], threshold)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(others)], ["doc_id", "others"])
+        release()
+
+    return run
+
+
+def _others(sets: DataFrame, joined: DataFrame, members: DataFrame, threshold: float, count: int) -> DataFrame:
+    """rep and others, the number of documents of all classes in a pair with it, of the classes of all groups."""
+    placed = materialise(joined.join(members.withColumnRenamed("rep", "doc_id"), "doc_id").join(sets.select("doc_id", "size"), "doc_id"), "placed")
+    need = F.greatest(F.ceil(F.count("*") / PART_DOCS), F.ceil(F.sum("size") / PART_GRAMS)).cast("int")
+    parts = materialise(placed.groupBy("root").agg(need.alias("parts")), "parts")
+    placed = materialise(placed.drop("size").join(small(parts), "root").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts").cast("long")).cast("int")), "parted")
+    # each two parts of a group meet in a cell, each part's own pairs are in one
+    held = sets.select("doc_id", "size", "grams").join(small(placed), "doc_id").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cell = F.xxhash64("root", F.least("part", "with"), F.greatest("part", "with")).alias("cell")
+    held = held.select(cell, (F.col("part") > F.col("with")).cast("int").alias("side"), (F.col("part") == F.col("with")).cast("int").alias("own"), "doc_id", "size", "members", "grams")
+    found = held.repartition(count, "cell").sortWithinPartitions("cell").mapInArrow(_links(threshold), "doc_id long, others long")
+    return found.groupBy(F.col("doc_id").alias("rep")).agg(F.sum("others").alias("others"))
+
+
 def linked(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
     """A row per document id: class_id, the least id that its pairs lead to (its own if it has none), copies, the
     number of other documents with the same texts, and links, that of all others in a pair with it, copies included."""
     count = fragments(docs.sparkSession, docs)
     links = materialise(copies(docs), "copies")
     sets = _gram_sets(docs, links, n, threshold, count)
-    near = materialise(_similar(sets, _found(sets, threshold, count), threshold, count).select("doc_a", "doc_b"), "near")
+    joined = materialise(components(_edges(sets, threshold, count)), "groups")
     size = links.groupBy("rep").agg(F.count("*").alias("members"))
-    both = near.unionByName(near.select(F.col("doc_b").alias("doc_a"), F.col("doc_a").alias("doc_b")))
-    others = both.join(size.withColumnRenamed("rep", "doc_b"), "doc_b").groupBy(F.col("doc_a").alias("rep")).agg(F.sum("members").alias("others"))
-    of_class = size.join(others, "rep", "left").join(components(near).withColumnRenamed("doc_id", "rep"), "rep", "left")
+    others = _others(sets, joined, size, threshold, count)
+    of_class = size.join(others, "rep", "left").join(joined.withColumnRenamed("doc_id", "rep"), "rep", "left")
     held = links.join(of_class, "rep").select("doc_id", F.coalesce("root", "rep").alias("class_id"), (F.col("members") - 1).alias("copies"), (F.col("members") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").distinct()
     zero = F.lit(0).cast("long")
@@ -421,13 +538,8 @@ def groups(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD) -> Dat
     count = fragments(docs.sparkSession, docs)
     links = materialise(copies(docs), "copies")
     sets = _gram_sets(docs, links, n, threshold, count)
-    first = materialise(_similar(sets, _found(sets, threshold, count, "first"), threshold, count).select("doc_a", "doc_b"), "first")
-    joined = components(first)
-    rest = _similar(sets, _found(sets, threshold, count, "rest", joined), threshold, count).select("doc_a", "doc_b")
-    # a group so far is a star about its root: rounds don't grow with its diameter again
-    star = joined.filter("doc_id <> root").select(F.col("root").alias("doc_a"), F.col("doc_id").alias("doc_b"))
     same = links.filter("doc_id <> rep").select(F.col("rep").alias("doc_a"), F.col("doc_id").alias("doc_b"))
-    return components(star.unionByName(rest).unionByName(same))
+    return components(_edges(sets, threshold, count).unionByName(same))
 
 
 def one_of_each(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:

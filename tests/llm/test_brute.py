@@ -478,6 +478,48 @@ def test_groups_equal_those_of_all_pairs(spark):
     assert kept == {i for i, r in want.items() if i == r}
 
 
+def test_links_of_a_large_group_are_counted_without_rows_of_pairs(spark, tmp_path, monkeypatch):
+    rng = random.Random(15)
+    one, rows = prose(rng, 60, 400).split(), []
+    for i in range(300):
+        w = list(one)
+        for _ in range(rng.randrange(6)):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(200)}"
+        rows.append((rng.randrange(10**6) * 1000 + i, " ".join(w)))
+    rows += [(5 + 10**10, rows[7][1]), (6 + 10**10, prose(rng, 60, 400))]
+    docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    sets = {i: gram_set(t) for i, t in rows}
+    links = {i: sum(j != i and len(sets[i] & sets[j]) >= 0.5 * len(sets[i] | sets[j]) for j in sets) for i in sets}
+    root = brute_groups(sets)
+    write, most = ngram_join.materialise, []
+
+    def counted(df, name):
+        found = write(df, name)
+        most.append(found.count())
+        return found
+
+    monkeypatch.setattr(ngram_join, "materialise", counted)
+    monkeypatch.setattr(ngram_join, "PART_DOCS", 70, raising=False)  # five parts
+    got = {r["doc_id"]: (r["class_id"], r["links"]) for r in queries.op7_ngram_join(spark, str(tmp_path)).collect()}
+    assert got == {i: (root[i], links[i]) for i in sets} and sum(links.values()) > 40_000
+    assert max(most) < 20 * len(rows)
+
+
+@pytest.mark.parametrize("rare, columns", [(32, 2048), (2, 5), (1, 3)])
+def test_links_of_a_cell_equal_a_loop(monkeypatch, rare, columns):
+    monkeypatch.setattr(ngram_join, "RARE", rare)
+    monkeypatch.setattr(ngram_join, "GRAMS_AT_ONCE", columns)
+    monkeypatch.setattr(ngram_join, "PAIRS_AT_ONCE", 7)
+    rng = np.random.default_rng(16)
+    for own in (True, False):
+        sets = [np.unique(rng.integers(0, 24, rng.integers(0, 20))).astype(np.uint64) for _ in range(40)]
+        side, members, size = rng.integers(0, 2, 40), rng.integers(1, 5, 40), np.array([len(x) + 1 for x in sets])
+        got = ngram_join.cell_links(side, own, np.repeat(np.arange(40), [len(x) for x in sets]), np.concatenate(sets), size, members, 0.5)
+        both = lambda a, b: len(np.intersect1d(sets[a], sets[b]))
+        want = [sum(members[b] for b in range(40) if b != a and (own or side[a] != side[b]) and both(a, b) >= 0.5 * (size[a] + size[b] - both(a, b))) for a in range(40)]
+        assert got.tolist() == want and sum(want)
+
+
 def test_components_of_a_long_chain(spark):
     pairs = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "doc_a long, doc_b long")
     got = {r["doc_id"]: r["root"] for r in ngram_join.components(pairs).collect()}
