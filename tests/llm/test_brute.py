@@ -11,6 +11,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from foliospark.llm import decontaminate, media, ngram_join, packing, quality, queries, secrets, substring_dedup, tokens, toxicity, warc
 from foliospark.llm.textkernel import Words
@@ -593,6 +594,21 @@ def test_toxicity_on_odd_rows(spark):
     assert toxicity.classify(d.limit(0), toxicity.fit(d.limit(0), labels)).count() == 0
 
 
+def test_toxicity_learns_from_all_labelled_rows(spark):
+    rng = random.Random(26)
+    ids = [r[0] for r in spark.range(20_000).orderBy(F.xxhash64("id")).collect()]
+    rows = []
+    for k, i in enumerate(ids):  # the last 2,000 ids in order of hash have an insult that no other has
+        word = "zorbface" if k >= 18_000 and k % 2 else "fool" if k % 10 == 1 else "kind"
+        rows.append((i, f"{prose(rng, 5)} {word} {prose(rng, 5)}", "en", int(word != "kind")))
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    model = toxicity.fit(d, d.select("doc_id", "toxic"))
+    new = spark.createDataFrame([(i, f"{prose(rng, 5)} {('zorbface', 'fool', 'kind')[i % 3]} {prose(rng, 5)}", "en") for i in range(300)], "doc_id long, text string, lang string")
+    got = [(r["doc_id"] % 3, r["toxic"]) for r in toxicity.classify(new, model).collect()]
+    found = [sum(t for k, t in got if k == kind) for kind in range(3)]
+    assert found[0] > 90 and found[1] > 90 and found[2] < 10
+
+
 # --- 9 decontamination
 
 
