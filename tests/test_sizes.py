@@ -1,9 +1,10 @@
 """Queries on tables that the given ones don't have: odd rows, and sections, drawings and entities of any size."""
 
 import duckdb
+import numpy as np
 
 from foliospark import registry
-from foliospark.operators import chunking
+from foliospark.operators import chunking, shapes
 from tests.test_queries import TABLES, rows
 
 GIVEN = "/root/testdata/sf0.001"
@@ -38,3 +39,37 @@ def test_merged_headings_of_large_sections(spark, tmp_path):
     # elsewhere such sections are cut
     text = "\n\n".join(r["text"] for r in got)
     assert max(chunking.tokens_of(p.text) for p in chunking.headed(text)) <= chunking.DEFAULT.ceiling("text")
+
+
+def test_nearest_boxes_of_crowded_drawings(spark, tmp_path):
+    one = "SELECT * REPLACE ({k} + i * {n} AS {k}, 1 AS {nation}) FROM {t}, range({times}) r(i)"
+    boxes = one.format(t="supplier", k="s_suppkey", n=10, nation="s_nationkey", times=60)
+    lines = one.format(t="customer", k="c_custkey", n=150, nation="c_nationkey", times=40)
+    assert against_sql(spark, "connector_nearest", tmp_path, supplier=boxes, customer=lines)
+
+
+def test_nearest_looks_at_few_boxes():
+    rng, looked = np.random.default_rng(1), []
+    whole = shapes._distances
+
+    def counted(x, y, right, top, at, to):
+        out = whole(x, y, right, top, at, to)
+        looked.append(out.size)
+        return out
+
+    def run(n, side):
+        looked.clear()
+        px, py, x, y = rng.integers(0, 200_000, (4, n))
+        w, h = rng.integers(1, side, (2, n))
+        shapes._distances = counted
+        try:
+            found, far = shapes.nearest(px, py, x, y, w, h)
+        finally:
+            shapes._distances = whole
+        for i in range(0, n, n // 50):
+            d = whole(x, y, x + w, y + h, (px[i], py[i]), (px[i], py[i]))
+            assert found[i] == d.argmin() and far[i] == d.min()
+        return sum(looked)
+
+    for side in (50, 60_000):
+        assert run(16_000, side) < 8 * run(4_000, side)  # pairs are sixteen times as many
