@@ -20,11 +20,17 @@ def id_map(store: DataFrame) -> DataFrame:
 def inverted(entities: DataFrame, ids: DataFrame) -> DataFrame:
     """chunk_id, name, description, exclusive: a row for each chunk of each entity; exclusive if its source is that chunk
     alone.  Of several entities with a name in a chunk the first counts."""
-    held = entities.filter((F.length("entity_name") > 0) & (F.length("source_id") > 0)).select("pos", F.trim("entity_name").alias("name"), H.description_of(F.coalesce("content", F.lit(""))).alias("description"), F.explode(H.fields_of(F.col("source_id"))).alias("graph_id"))
-    at = held.join(ids, "graph_id").select("pos", "name", "description", "chunk_id").distinct()
-    spread = at.groupBy("pos").agg((F.count("*") == 1).alias("exclusive"))
-    first = F.min(F.struct("pos", "description", "exclusive")).alias("f")
-    return at.join(spread, "pos").groupBy("chunk_id", "name").agg(first).select("chunk_id", "name", "f.description", "f.exclusive")
+    w = Window.partitionBy("pos")
+    # names and descriptions stay behind while pairs of entity and chunk meet: rows of one pos are told apart by number
+    held = entities.select("pos", F.trim("entity_name").alias("name"), H.description_of(F.coalesce("content", F.lit(""))).alias("description"), "entity_name", "source_id").withColumn("nth", F.dense_rank().over(w.orderBy("description", "name")))
+    pairs = held.filter((F.length("entity_name") > 0) & (F.length("source_id") > 0)).select("pos", "nth", F.explode(H.fields_of(F.col("source_id"))).alias("graph_id"))
+    alone = [F.min(c).over(w) == F.max(c).over(w) for c in ("nth", "chunk_id")]
+    at = pairs.join(ids, "graph_id").select("pos", "nth", "chunk_id").withColumn("exclusive", alone[0] & alone[1])
+    kinds = held.groupBy("pos").agg(F.array_sort(F.collect_set(F.struct("nth", "name", "description"))).alias("kinds"))
+    hits = at.join(kinds, "pos").withColumn("kind", F.element_at("kinds", F.col("nth"))).select("chunk_id", "kind.name", "pos", "nth", "kind.description", "exclusive")
+    # all that follows is by chunk, so that its rows move once
+    first = F.min(F.struct("pos", "nth", "description", "exclusive")).alias("f")
+    return hits.repartition("chunk_id").groupBy("chunk_id", "name").agg(first).select("chunk_id", "name", "f.description", "f.exclusive")
 
 
 def top(hits: DataFrame, most: int = 5) -> DataFrame:

@@ -1,10 +1,13 @@
 """Queries on tables that the given ones don't have: odd rows, and sections, drawings and entities of any size."""
 
+import re
+from collections import Counter
+
 import duckdb
 import numpy as np
 
 from foliospark import registry
-from foliospark.operators import chunking, shapes
+from foliospark.operators import chunking, entities, shapes
 from tests.test_queries import TABLES, rows
 
 GIVEN = "/root/testdata/sf0.001"
@@ -73,3 +76,21 @@ def test_nearest_looks_at_few_boxes():
 
     for side in (50, 60_000):
         assert run(16_000, side) < 8 * run(4_000, side)  # pairs are sixteen times as many
+
+
+def test_entities_leave_descriptions_behind(spark):
+    rng = np.random.default_rng(2)
+    some = [(int(p), f" n{p % 7}", f"n\nd{rng.integers(3)}", "<SEP>".join(f"g{g}" for g in rng.integers(0, 40, rng.integers(0, 4)))) for p in rng.integers(0, 30, 80)]
+    some += [(None, "a", "a\nb", "g1"), (31, None, "a\nb", "g1"), (32, "a", None, "g1<SEP> <SEP>g9"), (33, "a", "b", None)]
+    known = [(f"g{g}", f"c{g % 15}") for g in range(30)] + [("g1", "c2")]
+    made = spark.createDataFrame(some, "pos long, entity_name string, content string, source_id string")
+    got = entities.inverted(made, spark.createDataFrame(known, "graph_id string, chunk_id string"))
+    plan = spark.sparkContext._jvm.PythonSQLUtils.explainString(got._jdf.queryExecution(), "formatted")
+    at = {(p, n.strip(), d.split("\n")[1] if d else "", c) for p, n, d, s in some if n and s and p is not None for g in s.split("<SEP>") for k, c in known if k == g.strip()}
+    alone = Counter(p for p, *_ in at)
+    want = {}
+    for p, n, d, c in sorted(at):
+        want.setdefault((c, n), (c, n, d, alone[p] == 1))
+    assert sorted(map(tuple, got.collect())) == sorted(want.values()) and any(x[3] for x in want.values())
+    moved = re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]", plan)
+    assert sum("description#" in x for x in moved) <= 3  # the entities' own, twice, and the rows that come out
