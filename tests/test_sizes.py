@@ -94,3 +94,11 @@ def test_entities_leave_descriptions_behind(spark):
     assert sorted(map(tuple, got.collect())) == sorted(want.values()) and any(x[3] for x in want.values())
     moved = re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]", plan)
     assert sum("description#" in x for x in moved) <= 3  # the entities' own, twice, and the rows that come out
+
+
+def test_injected_entities_move_once_by_chunk(spark, tmp_path):
+    twice = "SELECT * FROM lineitem UNION ALL SELECT * REPLACE (l_partkey % 50 AS l_partkey) FROM lineitem"
+    against_sql(spark, "entity_inject", tmp_path, lineitem=twice)
+    df = registry.queries()["entity_inject"](spark, str(tmp_path))
+    plan = spark.sparkContext._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "simple")
+    assert plan.count("Exchange hashpartitioning(chunk_id") <= 2  # entities of chunks, and chunks
