@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import stripped
+from .text import let, stripped
 
 PAGE_BREAK = "<!-- pagebreak -->"
 _RULE = "^\\s*\\|[-:\\s|]+\\|\\s*$"
@@ -48,24 +48,27 @@ def joined(found: Column) -> Column:
 
 def _runs(found: Column) -> Column:
     """An array without items that equal the one before."""
-    before = F.slice(F.concat(F.array(F.lit(None).cast("string")), found), F.lit(1), F.size(found))
-    pairs = F.zip_with(found, before, lambda c, p: F.struct(c.alias("c"), c.eqNullSafe(p).alias("same")))
-    return F.transform(F.filter(pairs, lambda x: ~x["same"]), lambda x: x["c"])
+    return F.filter(found, lambda c, i: (i == 0) | ~c.eqNullSafe(F.get(found, i - 1)))
 
 
 def without_repeats(line: Column) -> Column:
     """A row of more than two cells with runs of equal neighbours as one cell, if that takes half of them or more."""
-    found = cells(line)
-    kept = _runs(found)
-    fewer = (F.size(found) > 2) & (F.size(kept) < F.size(found)) & (F.size(kept) * 2 <= F.size(found))
-    return F.when(is_row(line) & fewer, joined(kept)).otherwise(line)
+
+    def shorter(row: Column, found: Column, kept: Column) -> Column:
+        fewer = (F.size(found) > 2) & (F.size(kept) < F.size(found)) & (F.size(kept) * 2 <= F.size(found))
+        return F.when(fewer, joined(kept)).otherwise(row)
+
+    return let(line, lambda x: F.when(is_row(x), let(cells(x), lambda f: let(_runs(f), lambda k: shorter(x, f, k)))).otherwise(x))
 
 
 def without_empty(line: Column) -> Column:
     """A row without its empty and ``none`` cells if they are more than half (the ends count); empty if all are."""
-    every = parts(line)
-    kept = F.filter(every, lambda c: (c != "") & (F.lower(c) != "none"))
-    return F.when(~is_row(line) | is_rule(line), line).when(F.size(kept) == 0, "").when(F.size(kept) * 2 < F.size(every), joined(kept)).otherwise(line)
+
+    def fuller(row: Column, every: Column, kept: Column) -> Column:
+        return F.when(F.size(kept) == 0, "").when(F.size(kept) * 2 < F.size(every), joined(kept)).otherwise(row)
+
+    some = lambda every: F.filter(every, lambda c: (c != "") & (F.lower(c) != "none"))
+    return let(line, lambda x: F.when(~is_row(x) | is_rule(x), x).otherwise(let(parts(x), lambda e: let(some(e), lambda k: fuller(x, e, k)))))
 
 
 def by_line(text: Column, change: Callable[[Column], Column]) -> Column:

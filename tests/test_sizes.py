@@ -5,8 +5,10 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+from pyspark.sql import functions as F
 
 from foliospark import registry
+from foliospark.functions import tables as T
 from foliospark.operators import chunking, entities, shapes
 from tests.test_queries import TABLES, rows
 
@@ -102,3 +104,13 @@ def test_injected_entities_move_once_by_chunk(spark, tmp_path):
     df = registry.queries()["entity_inject"](spark, str(tmp_path))
     plan = spark.sparkContext._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "simple")
     assert plan.count("Exchange hashpartitioning(chunk_id") <= 2  # entities of chunks, and chunks
+
+
+def test_rows_are_split_once(spark, tmp_path):
+    line = F.col("l_comment")
+    assert [str(change(line)).count("split(") for change in (T.without_repeats, T.without_empty)] == [1, 1]
+    odd = ["| a | a | a | b |", "| a | A | a |", "|a|a|　a　|", "  | x | x | x |", "| a |  | a | a | a |", "plain", "|", "", None, "| | |", "| --- | --- |", "| | none | | x |", "| None | |"]
+    df = spark.createDataFrame([(x,) for x in odd], "x string").select("x", T.without_repeats(F.col("x")).alias("r"), T.without_empty(F.col("x")).alias("e"))
+    same = {x: (x, x) for x in odd}
+    want = {**same, "| a | a | a | b |": ("| a | b |", odd[0]), "|a|a|　a　|": ("| a |", odd[2]), "  | x | x | x |": ("| x |", odd[3]), odd[4]: ("| a |", odd[4]), "|": ("|", ""), "| | none | | x |": (odd[11], "| x |"), "| None | |": (odd[12], "")}
+    assert {r["x"]: (r["r"], r["e"]) for r in df.collect()} == want
