@@ -5,6 +5,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from foliospark import registry
@@ -114,3 +115,19 @@ def test_rows_are_split_once(spark, tmp_path):
     same = {x: (x, x) for x in odd}
     want = {**same, "| a | a | a | b |": ("| a | b |", odd[0]), "|a|a|　a　|": ("| a |", odd[2]), "  | x | x | x |": ("| x |", odd[3]), odd[4]: ("| a |", odd[4]), "|": ("|", ""), "| | none | | x |": (odd[11], "| x |"), "| None | |": (odd[12], "")}
     assert {r["x"]: (r["r"], r["e"]) for r in df.collect()} == want
+
+
+def test_chunks_leave_in_bounded_batches(spark):
+    class Docs:
+        """What stands for a table: gives the function over batches itself."""
+
+        schema = spark.createDataFrame([], "doc_id long, text string").schema
+        select = lambda self, *_: self
+        mapInArrow = lambda self, run, _: run
+
+    texts = ["".join(f"Sentence {i} of some length. " for i in range(4000)), None, "short", ""] * 25
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(100)), "fold_text": texts})
+    out = list(chunking.chunk_recursive(Docs())(iter([batch])))
+    assert max(b.nbytes for b in out) < 3 << 20 and len(out) > 2
+    got = pa.Table.from_batches(out).to_pylist()
+    assert [(r["doc_id"], r["text"]) for r in got] == [(i, c) for i, t in enumerate(texts) if t for c in chunking.recursive(t)]
