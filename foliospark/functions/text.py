@@ -25,7 +25,12 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 def of_class(text: Column, pattern: str) -> Column:
     """Characters of a class (a pattern that matches one character)."""
-    return F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
+    return F.length(text) - F.length(without(text, pattern))
+
+
+def without(text: Column, pattern: str) -> Column:
+    """Without the characters of a class, which go run by run."""
+    return F.regexp_replace(text, f"(?:{pattern})+" if not pattern.startswith("[") else f"{pattern}+", "")
 
 
 def stripped(text: Column) -> Column:
@@ -35,7 +40,7 @@ def stripped(text: Column) -> Column:
 
 def _weighted(text: Column, wide: str) -> Column:
     # what isn't wide: all of an ASCII text
-    n = F.when(F.octet_length(text) == F.length(text), F.length(text)).otherwise(F.length(F.regexp_replace(text, wide, "")))
+    n = F.when(F.octet_length(text) == F.length(text), F.length(text)).otherwise(F.length(without(text, wide)))
     return ((F.length(text) - n) * F.lit(1.5) + n * F.lit(0.25)).cast("int")
 
 
@@ -94,21 +99,25 @@ def script_of(character: Column) -> Column:
 
 def script_counts(text: Column) -> Column:
     """Characters by script, those without any left out, as a map; Other is what no script has.  What is common and
-    Latin goes first, so that the other scripts are looked for in what little is left of most texts."""
+    Latin goes first, so that the other scripts are looked for in what little is left of most texts.  Each use of the
+    result in one select works it out again: give it a name first."""
+    some = lambda counts: F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in counts.items()]), lambda x: x["value"] > 0))
 
     def all_of(common: Column, plain: Column, rest: Column) -> Column:
-        n = {"Common": common, "Latin": F.length(plain) - F.length(rest)}
-        counts = [F.struct(F.lit(k).alias("key"), n.get(k, of_class(rest, script_class([k]))).alias("value")) for k in SCRIPTS]
-        other = F.struct(F.lit("Other").alias("key"), of_class(rest, script_class(SCRIPTS, True)).alias("value"))
-        return F.map_from_entries(F.filter(F.array(*counts, other), lambda x: x["value"] > 0))
+        two = {"Common": common, "Latin": F.length(plain) - F.length(rest)}
+        more = {k: of_class(rest, script_class([k])) for k in SCRIPTS if k not in two}
+        return F.when(F.length(rest) == 0, some(two)).otherwise(some({**two, **more, "Other": of_class(rest, script_class(SCRIPTS, True))}))
 
-    latin = script_class(["Latin"])
-    return let(F.regexp_replace(text, script_class(["Common"]), ""), lambda p: let(F.regexp_replace(p, latin, ""), lambda r: all_of(F.length(text) - F.length(p), p, r)))
+    plain, rest = (lambda t, k=k: without(t, script_class([k])) for k in ("Common", "Latin"))
+    return let(text, lambda t: let(plain(t), lambda p: let(rest(p), lambda r: all_of(F.length(t) - F.length(p), p, r))))
 
 
-def unexpected_ratio(text: Column, scripts: Iterable[str]) -> Column:
-    """Share of characters of other scripts; what is common to all languages never counts.  Empty texts have 0."""
-    return F.when(F.length(text) > 0, of_class(text, script_class(["Common", *scripts], True)) / F.length(text)).otherwise(F.when(text.isNotNull(), 0.0))
+def unexpected_ratio(text: Column, scripts: Iterable[str], counts: Column | None = None) -> Column:
+    """Share of characters of other scripts; what is common to all languages never counts.  Empty texts have 0.  counts:
+    the text's ``script_counts``, if there."""
+    known = ["Common", *scripts]
+    others = of_class(text, script_class(known, True)) if counts is None else F.length(text) - sum(F.coalesce(counts[k], F.lit(0)) for k in known)
+    return F.when(F.length(text) > 0, others / F.length(text)).otherwise(F.when(text.isNotNull(), 0.0))
 
 
 def unexpected_scripts(text: Column, language: Column, most: float = 0.05, least: int = 50, expected: dict[str, tuple[str, ...]] = EXPECTED) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from foliospark import registry
 from foliospark.functions import tables as T
+from foliospark.functions import text as X
 from foliospark.operators import chunking, entities, shapes
 from tests.test_queries import TABLES, rows
 
@@ -131,3 +132,18 @@ def test_chunks_leave_in_bounded_batches(spark):
     assert max(b.nbytes for b in out) < 3 << 20 and len(out) > 2
     got = pa.Table.from_batches(out).to_pylist()
     assert [(r["doc_id"], r["text"]) for r in got] == [(i, c) for i, t in enumerate(texts) if t for c in chunking.recursive(t)]
+
+
+def test_scripts_are_counted_once(spark):
+    rng = np.random.default_rng(3)
+    points = [c for spans in X.SCRIPTS.values() for a, b in spans for c in (a, b, (a + b) // 2)] + [0x530, 0x1680, 0x1F600]
+    texts = ["".join(map(chr, rng.choice(points, n))) for n in (1, 5, 60, 400)] + ["", None, "plain words", "αβ words", "  ", "ÄÖ"]
+
+    def script(c):
+        return next((n for n, spans in X.SCRIPTS.items() if any(a <= ord(c) <= b for a, b in spans)), "Other")
+
+    df = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("n", X.script_counts(F.col("t")))
+    for r in df.select("t", "n", X.unexpected_ratio(F.col("t"), ["Latin"]).alias("a"), X.unexpected_ratio(F.col("t"), ["Latin"], F.col("n")).alias("b")).collect():
+        assert r["n"] == dict(Counter(map(script, r["t"] or ""))) and r["a"] == r["b"]
+    plan = registry.queries()["script_ratio"](spark, GIVEN)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") <= len(X.SCRIPTS) + 1
